@@ -108,32 +108,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return labels
 
 
-class WordHasher:
-    """words -> their 64-bit hashes as an array; keeps at most most words."""
-
-    def __init__(self, most: int = 400_000):
-        self.most, self.known = most, {}
-
-    def __call__(self, words: list[str]):
-        import numpy as np
-        import xxhash
-
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        except KeyError:
-            new = set(words).difference(known)
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = set(words)
-            for w in new:
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-            out = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            if len(known) > self.most:  # one text of very many words
-                known.clear()
-            return out
-
-
 def mix64(x):
     """A bijective scramble of an array of 64-bit integers."""
     import numpy as np
@@ -143,16 +117,89 @@ def mix64(x):
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(words, k: int):
-    """Hashes of each run of k words (given as word hashes), in order; with
-    fewer than k words but one at least, of the whole sequence."""
+_MULT = 0x5851F42D4C957F2D
+_INVERSE = pow(_MULT, -1, 1 << 64)
+_powers: dict = {}
+
+
+def _powers_of(base: int, n: int):
+    """base**0 .. base**n modulo 2**64; kept, and grown in doublings."""
+    import numpy as np
+
+    have = _powers.get(base)
+    if have is None or len(have) <= n:
+        size = max(1 << 16, 1 << n.bit_length()) + 1
+        have = np.full(size, base, np.uint64)
+        have[0] = 1
+        have = _powers[base] = np.cumprod(have, dtype=np.uint64)
+    return have[: n + 1]
+
+
+def _byte_values(lower: bool):
+    import numpy as np
+
+    t = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
+    if lower:
+        t[65:91] = t[97:123]
+    return t
+
+
+class Words:
+    """The words of a column of texts, hashed in place: hashes (64 bit, of a
+    word's bytes; with lower, A-Z as a-z) of all texts in a row, and bounds, where
+    each text's begin (one more at the end). Nulls have no words. Works on the
+    column's UTF-8 bytes with a few array operations a batch."""
+
+    def __init__(self, column, lower: bool = False):
+        import numpy as np
+        import pyarrow as pa
+
+        column = column.cast(pa.large_string()) if column.type != pa.large_string() else column
+        column = column.fill_null("")
+        n = len(column)
+        off = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8) if n else np.zeros(1, np.int64)
+        buf = column.buffers()[2] if n else None
+        data = np.frombuffer(buf, np.uint8)[off[0] : off[-1]] if buf is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
+        off = off - off[0]
+        solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
+        first = np.zeros(len(data) + 1, bool)
+        first[off] = True  # a text's end is an edge
+        begin = solid.copy()
+        begin[1:] &= ~solid[:-1] | first[1:-1]
+        end = solid.copy()
+        end[:-1] &= ~solid[1:] | first[1:-1]
+        self.starts, self.ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        values = _byte_values(lower)[data] * _powers_of(_MULT, len(data))[: len(data)]
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(values, out=total[1:])
+        h = (total[self.ends] - total[self.starts]) * _powers_of(_INVERSE, len(data))[self.starts]
+        self.hashes = mix64(h + (self.ends - self.starts).astype(np.uint64))
+        self.bounds = np.searchsorted(self.starts, off)
+
+
+def run_hashes(words, k: int, base: int = 0x9E3779B97F4A7C15):
+    """The hash of the k words that start at each place (len - k + 1 of them)."""
     import numpy as np
 
     n = len(words)
-    if not n:
+    if n < k:
         return np.zeros(0, np.uint64)
-    size = min(k, n)
-    h = np.full(n - size + 1, size, np.uint64)
-    for i in range(size):
-        h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + words[i : n - size + 1 + i])
-    return h
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(words * _powers_of(base, n)[:n], out=total[1:])
+    return mix64((total[k:] - total[:-k]) * _powers_of(pow(base, -1, 1 << 64), n)[: n - k + 1])
+
+
+def text_batches(batch, at: int, most: int = 1 << 20):
+    """Slices of a record batch whose texts (column at) hold about most bytes."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    size = np.cumsum(pc.binary_length(batch.column(at)).fill_null(0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        before = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, before + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop

@@ -10,14 +10,13 @@ full sets. Components need no list of all pairs: see near_duplicates()."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WordHasher, components, discard, lower_az, mix64, release_shuffles, shingle_hashes, stored, words_of
+from .common import Words, components, discard, mix64, release_shuffles, run_hashes, stored, text_batches
 
 BANDS, ROWS = 52, 7
 REGISTERS = BANDS * ROWS
@@ -64,30 +63,64 @@ def sketch(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
     return np.clip(k, 0, TOP).astype("<u2").reshape(-1, m)
 
 
-def joint_similarity(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
-    """Jaccard similarity of greatest likelihood, given two sketches and the
-    sizes of the sets."""
-    up, down = int((a > b).sum()), int((a < b).sum())
-    same = len(a) - up - down
+def joint_similarity(up, down, n_a, n_b, m: int = REGISTERS) -> np.ndarray:
+    """Jaccard similarities of greatest likelihood: of m registers, up are
+    greater in the first sketch and down in the second; n_a and n_b are the sizes
+    of the sets. Arrays of pairs."""
+    up, down, n_a, n_b = (np.asarray(x, float)[:, None] for x in (up, down, n_a, n_b))
     u, v = n_a / (n_a + n_b), n_b / (n_a + n_b)
-    j = np.linspace(0, min(u / v, v / u), 257)
+    j = np.linspace(0, 1, 129)[None] * np.minimum(u / v, v / u)
 
     def p(x):
         return -np.log1p(-np.maximum(x, 0) * (BASE - 1) / BASE) / np.log(BASE)
 
-    hi, lo = p(u - v * j), p(v - u * j)
-    tiny = 1e-12
-    like = up * np.log(hi + tiny) + down * np.log(lo + tiny) + same * np.log(np.maximum(1 - hi - lo, 0) + tiny)
-    return float(j[like.argmax()])
-
-
-def _shingler(k: int):
-    words = WordHasher()
-
-    def shingles(text: str | None) -> np.ndarray:
-        return np.unique(shingle_hashes(words(words_of(lower_az(text or ""))), k))
-
-    return shingles
+    hi, lo, tiny = p(u - v * j), p(v - u * j), 1e-12
+    like = up * np.log(hi + tiny) + down * np.log(lo + tiny) + (m - up - down) * np.log(np.maximum(1 - hi - lo, 0) + tiny)
+    return np.take_along_axis(j, like.argmax(1)[:, None], 1)[:, 0]
+
+
+class Verifier:
+    """Exact links between rows with sketches and sets: the joint estimate
+    first, 5 standard deviations wide, then the sets."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        least = num / den
+        self.floor = least - 5 * (least * (1 - least) / REGISTERS) ** 0.5
+
+    def possible(self, r: np.ndarray, n: int, rs: np.ndarray, ns: np.ndarray) -> np.ndarray:
+        """Which of the sketches rs (sets of ns) may link with r (of n)."""
+        at = np.flatnonzero(self.den * np.minimum(n, ns) >= self.num * np.maximum(n, ns))
+        same = (rs[at] == r).sum(1)
+        at = at[same >= self.floor * REGISTERS]
+        if len(at):
+            up, down = (r > rs[at]).sum(1), (r < rs[at]).sum(1)
+            at = at[joint_similarity(up, down, np.full(len(at), n), ns[at]) >= self.floor]
+        return at
+
+    def links(self, x: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        """Whether x links with each of sets (all sorted, distinct)."""
+        if not sets:
+            return np.zeros(0, bool)
+        sizes = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(x, flat), len(x) - 1)
+        both = np.add.reduceat(x[at] == flat, np.r_[0, sizes.cumsum()[:-1]], dtype=np.int64)
+        return self.den * both >= self.num * (len(x) + sizes - both)
+
+
+def shingle_sets(column, k: int) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes, sorted; with fewer than k words but
+    one at least, the hash of the whole sequence."""
+    w = Words(column, lower=True)
+    runs = run_hashes(w.hashes, k)
+    out = []
+    for a, z in zip(w.bounds[:-1].tolist(), w.bounds[1:].tolist(), strict=True):
+        if z - a >= k:
+            out.append(np.unique(runs[a : z - k + 1]))
+        else:
+            out.append(run_hashes(w.hashes[a:z], z - a) if z > a else np.zeros(0, np.uint64))
+    return out
 
 
 def _digest(data: bytes) -> tuple[int, int]:
@@ -104,11 +137,9 @@ def sketches(rows: DataFrame, k: int) -> DataFrame:
     are a 128-bit hash of the set, null with the registers if it is empty."""
 
     def run(batches):
-        shingles = _shingler(k)
         for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                sets = [shingles(t.as_py()) for t in part.column(1)]
+            for part in text_batches(b, 1):
+                sets = shingle_sets(part.column(1), k)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 regs = dict(zip(full, sketch([sets[i] for i in full]) if full else [], strict=True))
                 digests = [_digest(s.tobytes()) if len(s) else (None, None) for s in sets]
@@ -143,39 +174,72 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"), F.col("registers").alias("ra"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"), F.col("registers").alias("rb"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb", "ra", "rb")
-    floor = num / den
-    floor -= 6 * (floor * (1 - floor) / REGISTERS) ** 0.5
+    check = Verifier(num, den)
 
     def run(batches):
         for bt in batches:
             keep = []
             for i, (sa, sb, ra, rb) in enumerate(zip(*(bt.column(c) for c in range(2, 6)), strict=True)):
                 x, y = np.frombuffer(sa.as_py(), "<u8"), np.frombuffer(sb.as_py(), "<u8")
-                if den * min(len(x), len(y)) < num * max(len(x), len(y)):
-                    continue
-                if joint_similarity(np.frombuffer(ra.as_py(), "<u2"), np.frombuffer(rb.as_py(), "<u2"), len(x), len(y)) < floor:
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if den * both >= num * (len(x) + len(y) - both):
+                near = check.possible(np.frombuffer(ra.as_py(), "<u2"), len(x), np.frombuffer(rb.as_py(), "<u2")[None], np.array([len(y)]))
+                if len(near) and check.links(x, [y])[0]:
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([bt.column(0).take(pa.array(keep, pa.int64())), bt.column(1).take(pa.array(keep, pa.int64()))], ["a", "b"])
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([bt.column(0).take(at), bt.column(1).take(at)], ["a", "b"])
 
     return full.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text", pivots: int = 2) -> DataFrame:
+def _between_blocks(members: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links (a, b) that join labels, of members(cluster, label, rep, registers,
+    shingles): every two members of a cluster with unlike labels are compared, in
+    tasks of two blocks of at most about block members. No pair leaves a task but
+    the links that a spanning forest of its labels needs."""
+    check = Verifier(num, den)
+    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = members.join(sizes, "cluster").withColumn("i", F.pmod(F.xxhash64("rep", F.lit(9)), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), (F.col("i") > F.col("j")).alias("second"), "label", "rep", "registers", "shingles")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["second", "label", "rep"])
+        regs = np.stack([np.frombuffer(r, "<u2") for r in pdf["registers"]])
+        sets = [np.frombuffer(s, "<u8") for s in pdf["shingles"]]
+        n, rep, second = np.array([len(s) for s in sets]), pdf["rep"].to_numpy(), pdf["second"].to_numpy()
+        _, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
+        within = pdf["x"].iloc[0] == pdf["y"].iloc[0]
+        other = np.arange(len(n)) if within else np.flatnonzero(second)
+        a, b = [], []
+        for i in range(len(n)) if within else np.flatnonzero(~second).tolist():
+            to = other[(label[other] != label[i]) & ((other > i) | (not within))]
+            if not len(to):
+                continue
+            to = to[check.possible(regs[i], n[i], regs[to], n[to])]
+            for at in range(0, len(to), 64):
+                some = to[at : at + 64]
+                some = some[label[some] != label[i]]
+                for j in some[check.links(sets[i], [sets[k] for k in some])].tolist() if len(some) else ():
+                    if label[j] != label[i]:
+                        a.append(rep[i]), b.append(rep[j])
+                        label[label == label[j]] = label[i]
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return dealt.groupBy("cluster", "x", "y").applyInPandas(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int, int] = (85, 100), id_col: str = "doc_id", text_col: str = "text", block: int = 512) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest
     doc_id reachable over links), kept (doc_id = component_id). Documents link if
     their sets' Jaccard similarity is at least num/den of similarity.
 
-    Documents of one set are one class, so exact copies cost a row each. In a
-    bucket (band and register values) every class is first tried against a pivot
-    alone, a few rounds with other pivots: of its pivots a class tries the one
-    it shares most buckets with. Buckets whose members are then one component are
-    settled. In the others, each member outside the bucket's largest component is
-    tried against all members of other components, so no candidate is lost and
-    pairs inside a component are never listed. Band settings miss a pair at the
-    similarity 0.85 with probability 2e-9 (0.80: 5e-6).
+    Documents of one set are one class, so exact copies cost a row each. Every
+    class is first tried against one other, the smallest of the buckets (band and
+    register values) it is in, whichever it shares most buckets with. Buckets
+    whose members are then one component are settled. The members of the others,
+    in clusters connected by such buckets, are compared block by block: no
+    candidate is lost, pairs inside a component are skipped, and pairs are never
+    listed. Band settings miss a pair at the similarity 0.85 with probability 2e-9
+    (0.80: 5e-6), the estimate's margin with less than 1e-6.
 
     Null or blank texts have an empty set and link with nothing; a null id is
     its own component (null), kept; rows that share an id are one node; an empty
@@ -191,11 +255,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int,
     release_shuffles(docs.sparkSession)
 
     def to_sets(batches):
-        shingles = _shingler(shingle)
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                made = [shingles(t.as_py()).tobytes() for t in part.column(4)]
+            for part in text_batches(b, 4):
+                made = [x.tobytes() for x in shingle_sets(part.column(4), shingle)]
                 own = [i for i, (x, h1, h2) in enumerate(zip(made, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)) if _digest(x) == (h1, h2)]
                 at_own = pa.array(own, pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at_own), part.column(1).take(at_own), pa.array([made[i] for i in own], pa.binary())], ["rep", "registers", "shingles"])
@@ -208,58 +270,27 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int,
     sets = stored(made.dropDuplicates(["rep"]), "sets")
     release_shuffles(docs.sparkSession)
 
-    found: list[DataFrame] = []
-    tried: list[DataFrame] = []
-    labels = None
-
-    def labelled(b):
-        if labels is None:
-            return b.withColumn("label", F.col("rep"))
-        own = labels.withColumnsRenamed({"node": "rep", "component": "label"})
-        return b.join(own, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-
-    def connect():
-        edges = reduce(DataFrame.unionByName, found)
-        return components(edges)
-
-    def untried(pairs):
-        for t in tried:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        return pairs
-
-    def attempt(pairs):
-        pairs = stored(untried(pairs), "pairs")
-        tried.append(pairs)
-        good = stored(verified(pairs, sets, num, den), "links")
-        found.append(good)
-        return good.limit(1).count() > 0
-
-    for k in range(pivots):
-        live = labelled(buckets)
-        rank = F.struct(F.xxhash64("rep", F.lit(k)), "rep", "label") if k else F.struct("rep", "label")
-        top = live.groupBy("bucket").agg(F.min(rank).alias("top"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 < l1").select("bucket", F.col("top.rep").alias("pivot"), F.col("top.label").alias("of"))
-        met = live.join(top, "bucket").where("label <> of")
-        votes = met.groupBy("rep", "pivot").count()
-        best = votes.groupBy("rep").agg(F.max(F.struct("count", (-F.col("pivot")).alias("p"))).alias("top"))
-        if attempt(best.select(F.least("rep", -F.col("top.p")).alias("a"), F.greatest("rep", -F.col("top.p")).alias("b")).distinct()):
-            if labels is not None:
-                discard(labels)
-            labels = connect()
-    live = stored(labelled(buckets), "labelled")
-    counts = live.groupBy("bucket", "label").count()
-    main = counts.groupBy("bucket").agg(F.max(F.struct("count", "label")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("bucket", F.col("top.label").alias("main"))
-    mixed = live.join(main, "bucket")
-    stray = mixed.where("label <> main").select("bucket", F.col("rep").alias("x"), F.col("label").alias("lx"))
-    other = mixed.select("bucket", F.col("rep").alias("y"), F.col("label").alias("ly"))
-    cross = stray.join(other, "bucket").where("lx <> ly").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    if attempt(cross):
-        labels = connect()
-    discard(live)
+    # first, each class against the pivot that it shares most buckets with
+    pivots = buckets.groupBy("bucket").agg(F.min("rep").alias("pivot"))
+    votes = buckets.join(pivots, "bucket").where("rep <> pivot").groupBy("rep", "pivot").count()
+    best = votes.groupBy("rep").agg(F.max(F.struct("count", (-F.col("pivot")).alias("p"))).alias("top"))
+    pairs = best.select(F.least("rep", -F.col("top.p")).alias("a"), F.greatest("rep", -F.col("top.p")).alias("b")).distinct()
+    found = stored(verified(pairs, sets, num, den), "links")
+    labels = components(found)
+    # then, where a bucket's classes are not yet one component, all of its cluster
+    own = labels.withColumnsRenamed({"node": "rep", "component": "label"})
+    live = stored(buckets.join(own, "rep", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label")), "labelled")
+    mixed = live.groupBy("bucket").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("rep").alias("first")).where("l0 < l1")
+    near = stored(live.join(mixed, "bucket").select("rep", "label", "first").distinct(), "near")
+    clusters = components(near.select(F.col("rep").alias("a"), F.col("first").alias("b"))).withColumnsRenamed({"node": "rep", "component": "cluster"})
+    unsettled = near.select("rep", "label").distinct().join(clusters, "rep").join(sets, "rep")
+    more = stored(_between_blocks(unsettled, num, den, block), "more")
+    if more.limit(1).count():
+        discard(labels)
+        labels = components(found.unionByName(more))
+    discard(live, near)
     member = sk.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left")
-    if labels is not None:
-        member = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        member = member.withColumn("component", F.lit(None).cast("long"))
+    member = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     # rows that share an id are one node, whatever class each row is of
     found_id = F.coalesce("component", "rep", "doc_id")
     return member.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), found_id).alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

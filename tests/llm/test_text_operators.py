@@ -68,7 +68,8 @@ def test_sketches_merge_and_estimate():
     a, b = x[:1000], x[500:]
     s = neardup.sketch([a, b, x, x[:1]])
     assert (np.maximum(s[0], s[1]) == s[2]).all()
-    assert abs(neardup.joint_similarity(s[0], s[1], 1000, 1000) - 1 / 3) < 0.09
+    up, down = (s[0] > s[1]).sum(), (s[0] < s[1]).sum()
+    assert abs(neardup.joint_similarity([up], [down], [1000], [1000])[0] - 1 / 3) < 0.09
 
 
 def test_components(spark):
