@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WordHasher, discard, fresh_path, mix64, release_shuffles, shingle_hashes, stored, words_of
+from .common import Words, discard, fresh_path, release_shuffles, run_hashes, stored, text_batches
 
 GRAM = 5
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -35,39 +36,55 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return x
 
 
-def window_anchors(words: np.ndarray, window: int) -> np.ndarray:
-    """The anchor of each window of a document, given its words' hashes."""
-    if len(words) < window:
-        return np.zeros(0, np.int64)
-    gram = min(GRAM, window)
-    return _window_min(shingle_hashes(words, gram), window - gram + 1).view(np.int64)
+class Windows:
+    """All windows of a column of texts. at(i) is the places of text i's windows;
+    the arrays hold an entry for every place of the column, also those where a
+    window would run into the next text."""
 
+    def __init__(self, column, window: int):
+        words = Words(column)
+        gram = min(GRAM, window)
+        self.bounds, self.window = words.bounds, window
+        self.anchors = _window_min(run_hashes(words.hashes, gram), window - gram + 1).view(np.int64) if len(words.hashes) >= window else np.zeros(0, np.int64)
+        self.words = words.hashes
 
-def window_hashes(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit and a further 32-bit hash of each window's words."""
-    if len(words) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    return shingle_hashes(words, window).view(np.int64), shingle_hashes(mix64(words + np.uint64(1)), window).view(np.int64).astype(np.int32)
+    def at(self, i: int) -> slice:
+        a, z = int(self.bounds[i]), int(self.bounds[i + 1])
+        return slice(a, max(a, z - self.window + 1))
 
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit and a further 32-bit hash of each window's words."""
+        return run_hashes(self.words, self.window).view(np.int64), (run_hashes(self.words, self.window, 0xD1342543DE82EF95) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-def _digest(words: list[str]) -> str:
-    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).hexdigest()
+
+def _split(text: str | None) -> list[bytes]:
+    """The words (bytes.split() parts at the six ASCII blanks)."""
+    return (text or "").encode().split()
+
+
+def _digest(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
 def postings(rows: DataFrame, window: int) -> DataFrame:
     """(anchor, doc_id): each document's distinct anchors, of rows(doc_id, text)."""
 
     def run(batches):
-        hasher = WordHasher()
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                found = [np.unique(window_anchors(hasher(words_of(t.as_py() or "")), window)) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found]), pa.int64())], ["anchor", "doc_id"])
+            for part in text_batches(b, 1):
+                w = Windows(part.column(1), window)
+                found = [np.unique(w.anchors[w.at(i)]) for i in range(part.num_rows)]
+                ids = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(f) for f in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64()), pa.array(ids, pa.int64())], ["anchor", "doc_id"])
 
     return rows.mapInArrow(run, "anchor long, doc_id long")
 
 
+def _among(x: np.ndarray, some: pa.Array) -> np.ndarray:
+    some = np.sort(some.to_numpy(zero_copy_only=False))
+    return some[np.minimum(np.searchsorted(some, x), len(some) - 1)] == x if len(some) else np.zeros(len(x), bool)
+
+
 class FingerprintIndex:
     """Runs (anchor, lo, hi) of the batches added so far, as bucketed, sorted
     tables in the shared folder; equal bucket counts let runs be merged, and
@@ -132,8 +149,9 @@ def repeated_passages(docs: DataFrame, *, window: int = 13, batches: int = 2, id
 
     def to_base(batches):
         for b in batches:
-            words = [words_of(t.as_py() or "") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_digest(w) for w in words], pa.string()), pa.array([len(w) for w in words], pa.int64())], ["doc_id", "sha", "n_words"])
+            words = (_split(t.as_py()) for t in b.column(1))
+            made = [(_digest(w), len(w)) for w in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.int64())], ["doc_id", "sha", "n_words"])
 
     base = stored(rows.mapInArrow(to_base, "doc_id long, sha string, n_words long"), "base")
     long_enough = base.where(f"n_words >= {window} and doc_id is not null")
@@ -155,7 +173,7 @@ def repeated_passages(docs: DataFrame, *, window: int = 13, batches: int = 2, id
 
     def own(batches):  # rows that share an id with another text go to their own text's entry
         for b in batches:
-            mine = [_digest(words_of(t.as_py() or "")) == s for t, s in zip(b.column(1), b.column(2).to_pylist(), strict=True)]
+            mine = [_digest(_split(t.as_py())) == s for t, s in zip(b.column(1), b.column(2).to_pylist(), strict=True)]
             yield b.filter(pa.array(mine, pa.bool_()))
 
     kinds = "doc_id long, text string, sha string, anchors array<bigint>"
@@ -163,19 +181,18 @@ def repeated_passages(docs: DataFrame, *, window: int = 13, batches: int = 2, id
     discard(flagged)
 
     def to_windows(batches):
-        hasher = WordHasher()
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                ids, one, two = [], [], []
-                part = b.slice(at, 128)
-                for doc, text, anchors in zip(part.column(0).to_pylist(), part.column(1), part.column(3), strict=True):
-                    words = hasher(words_of(text.as_py()))
-                    live = np.nonzero(np.isin(window_anchors(words, window), anchors.values.to_numpy(zero_copy_only=False)))[0]
-                    h1, h2 = window_hashes(words, window)
+            for part in text_batches(b, 1):
+                w = Windows(part.column(1), window)
+                h1, h2 = w.hashes()
+                ids, places = [], []
+                for i, (doc, anchors) in enumerate(zip(part.column(0).to_pylist(), part.column(3), strict=True)):
+                    own = w.at(i)
+                    live = own.start + np.flatnonzero(_among(w.anchors[own], anchors.values))
                     _, first = np.unique(h1[live], return_index=True)
-                    one.append(h1[live[first]]), two.append(h2[live[first]]), ids.append(np.full(len(first), doc, np.int64))
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (one, two, ids)], ["h1", "h2", "doc_id"])
+                    places.append(live[first]), ids.append(np.full(len(first), doc, np.int64))
+                at = np.concatenate(places)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[at], h2[at], np.concatenate(ids))], ["h1", "h2", "doc_id"])
 
     windows = suspects.mapInArrow(to_windows, "h1 long, h2 int, doc_id long")
     again = stored(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), "repeated")
@@ -185,22 +202,19 @@ def repeated_passages(docs: DataFrame, *, window: int = 13, batches: int = 2, id
     discard(again)
 
     def to_kept(batches):
-        hasher = WordHasher()
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
+            for part in text_batches(b, 1):
+                w = Windows(part.column(1), window)
+                h1, _ = w.hashes()
                 removed, kept = [], []
-                for text, found in zip(part.column(1), part.column(3), strict=True):
-                    words = words_of(text.as_py())
-                    h1, _ = window_hashes(hasher(words), window)
-                    at_hit = np.nonzero(np.isin(h1, found.values.to_numpy(zero_copy_only=False)))[0]
-                    edge = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(edge, at_hit, 1)
-                    np.add.at(edge, at_hit + window, -1)
-                    gone = edge[:-1].cumsum() > 0
-                    removed.append(int(gone.sum()))
-                    left = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-                    kept.append(" ".join(left) if texts else _digest(left))
+                for i, (text, found) in enumerate(zip(part.column(1), part.column(3), strict=True)):
+                    words = _split(text.as_py())
+                    at_hit = np.flatnonzero(_among(h1[w.at(i)], found.values))
+                    edge = np.bincount(at_hit, minlength=len(words) + 1) - np.bincount(at_hit + window, minlength=len(words) + 1)
+                    stay = edge[:-1].cumsum() == 0
+                    removed.append(int(len(words) - stay.sum()))
+                    left = list(compress(words, stay.tolist()))
+                    kept.append(b" ".join(left).decode() if texts else _digest(left))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "sha", "n_removed", last])
 
     last = "kept" if texts else "kept_sha256"
