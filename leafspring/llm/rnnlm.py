@@ -19,17 +19,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import lower_az, release_shuffles, stored, words_of
+from .common import release_shuffles, stored
 
 HEAD_CLASSES, CLASS_SIZE, TAIL_CLASSES = 16, 64, 24
 HEAD, CLASSES, STATE, STEPS = HEAD_CLASSES * CLASS_SIZE, HEAD_CLASSES + TAIL_CLASSES, 24, 32
 INPUTS = HEAD + TAIL_CLASSES + 1
-END = " "  # no word holds a blank
+END = b" "  # no word holds a blank
 LN10 = math.log(10)
 
 
-def tail_class(token: str) -> int:
-    return zlib.crc32(token[-2:].encode("utf-8", "surrogatepass")) % TAIL_CLASSES
+def tail_class(token: bytes) -> int:
+    return zlib.crc32(token.decode()[-2:].encode()) % TAIL_CLASSES
 
 
 def held_out(doc_id) -> bool:
@@ -41,13 +41,13 @@ class Vocabulary:
     """What of the counts is broadcast, of fixed size: head words, counts of
     the most frequent types, totals by class."""
 
-    head: list[str]  # most frequent first; at most HEAD
-    counts: dict[str, int]  # of the most frequent types, head included
+    head: list[bytes]  # most frequent first; at most HEAD
+    counts: dict[bytes, int]  # of the most frequent types, head included
     total: int
     types: int
     class_count: np.ndarray  # training tokens in each tail class
     class_types: np.ndarray
-    index: dict[str, int] = field(init=False)
+    index: dict[bytes, int] = field(init=False)
 
     def __post_init__(self):
         self.index = {w: i for i, w in enumerate(self.head)}
@@ -271,7 +271,7 @@ class _Tokens:
     def __init__(self, vocab: Vocabulary, most: int = 400_000):
         self.index, self.known, self.most = vocab.index, {}, most
 
-    def __call__(self, tokens: list[str]) -> np.ndarray:
+    def __call__(self, tokens: list[bytes]) -> np.ndarray:
         known = self.known
         try:
             return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
@@ -284,8 +284,10 @@ class _Tokens:
             return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
 
 
-def tokens_of(text: str | None) -> list[str]:
-    return [*words_of(lower_az(text or "")), END]
+def tokens_of(text: str | None) -> list[bytes]:
+    """Of the UTF-8 bytes, where lower() and split() know A-Z and the six ASCII
+    blanks alone."""
+    return [*(text or "").encode().lower().split(), END]
 
 
 def token_counts(rows: DataFrame) -> DataFrame:
@@ -295,7 +297,7 @@ def token_counts(rows: DataFrame) -> DataFrame:
         seen: Counter = Counter()
 
         def out():
-            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+            made = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
             seen.clear()
             return made
 
@@ -315,12 +317,12 @@ def vocabulary(counts: DataFrame, known_types: int = 100_000, longest: int = 40)
     broadcast; all other types are looked up by a join."""
     short = counts.where(F.length("token") <= longest)
     top = short.orderBy(F.desc("n"), "token").limit(known_types).collect()
-    known = {r.token: r.n for r in top}
-    head = [r.token for r in top[:HEAD]]
+    known = {r.token.encode(): r.n for r in top}
+    head = [r.token.encode() for r in top[:HEAD]]
     if END in known and END not in head:
         head = [END, *head[: HEAD - 1]]
     suffix = F.substring("token", -2, 2)
-    body = counts.where(~F.col("token").isin(head)) if head else counts
+    body = counts.where(~F.col("token").isin([w.decode() for w in head])) if head else counts
     per = body.groupBy(F.pmod(F.crc32(F.encode(suffix, "UTF-8")), F.lit(TAIL_CLASSES)).alias("k")).agg(F.sum("n").alias("n"), F.count("*").alias("t")).collect()
     n, t = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     for r in per:
@@ -329,9 +331,9 @@ def vocabulary(counts: DataFrame, known_types: int = 100_000, longest: int = 40)
     return Vocabulary(head, known, total[0] or 0, total[1], n, t)
 
 
-def train(rows: DataFrame, vocab: Vocabulary, *, share: int = 8, rounds: int = 2, **options) -> dict:
+def train(rows: DataFrame, vocab: Vocabulary, *, share: int = 20, rounds: int = 2, **options) -> dict:
     """Every training document takes part with a run of 1/share of its tokens
-    (64 at least), at a place that its hash chooses, in another place each round.
+    (32 at least), at a place that its hash chooses, in another place each round.
     Each task fits a model on its runs, from the common one; the models' mean,
     weighted by tokens, is the next common one. Sums are built in a tree, so that
     few blocks of parameters (0.4 MB each) reach the driver at any size."""
@@ -348,7 +350,7 @@ def train(rows: DataFrame, vocab: Vocabulary, *, share: int = 8, rounds: int = 2
                     if held_out(doc):
                         continue
                     tokens = tokens_of(text.as_py())
-                    n = min(len(tokens), max(64, len(tokens) // share))
+                    n = min(len(tokens), max(32, len(tokens) // share))
                     at = zlib.crc32(f"{doc} {k}".encode()) % (len(tokens) - n + 1)
                     runs.append(index(tokens[at : at + n]))
             weight = float(sum(map(len, runs)))
@@ -415,7 +417,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     in_tail = ids >= HEAD
                     tails = ids[in_tail] - HEAD
                     own = math.fsum(v for v, t in zip(found, in_tail.tolist(), strict=True) if t and v is not None) - float(mass[tails].sum())
-                    meta.append((row, doc, held_out(doc), len(tokens), len(tokens) - rare.total(), base, own, [{"token": t, "tf": n} for t, n in rare.items()]))
+                    meta.append((row, doc, held_out(doc), len(tokens), len(tokens) - rare.total(), base, own, [{"token": t.decode(), "tf": n} for t, n in rare.items()]))
                     row += 1
                     seqs.append(ids)
                 neural = score_local(params, seqs) / LN10

@@ -267,7 +267,7 @@ def test_language_model_against_its_definition(spark, docs, texts):
 
 
 def test_language_model_gradients_and_states():
-    vocab = rnnlm.Vocabulary([f"w{i}" for i in range(200)], {f"w{i}": 300 - i for i in range(200)}, 10**5, 900, np.full(rnnlm.TAIL_CLASSES, 50.0), np.full(rnnlm.TAIL_CLASSES, 9.0))
+    vocab = rnnlm.Vocabulary([b"w%d" % i for i in range(200)], {b"w%d" % i: 300 - i for i in range(200)}, 10**5, 900, np.full(rnnlm.TAIL_CLASSES, 50.0), np.full(rnnlm.TAIL_CLASSES, 9.0))
     p = {k: v.astype(np.float64) for k, v in rnnlm.initial(vocab).items()}
     rng = np.random.default_rng(0)
     goal = rng.choice([*range(200), *range(rnnlm.HEAD, rnnlm.INPUTS - 1)], (6, 4))
