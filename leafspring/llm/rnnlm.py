@@ -12,7 +12,8 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +48,6 @@ class Vocabulary:
     types: int
     class_count: np.ndarray  # training tokens in each tail class
     class_types: np.ndarray
-    index: dict[bytes, int] = field(init=False)
-
-    def __post_init__(self):
-        self.index = {w: i for i, w in enumerate(self.head)}
 
     def cells(self) -> np.ndarray:
         """log of each head word's count, HEAD_CLASSES x CLASS_SIZE; -inf where
@@ -266,22 +263,33 @@ def score_local(p: dict, texts: list[np.ndarray]) -> np.ndarray:
 
 
 class _Tokens:
-    """Text -> ids of inputs; keeps what it has met."""
-
-    def __init__(self, vocab: Vocabulary, most: int = 400_000):
-        self.index, self.known, self.most = vocab.index, {}, most
-
-    def __call__(self, tokens: list[bytes]) -> np.ndarray:
-        known = self.known
-        try:
-            return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
-        except KeyError:
-            if len(known) > self.most:
+    """Tokens -> codes: their rank among the known types, or -1."""
+
+    def __init__(self, vocab: Vocabulary):
+        rank = {w: i for i, w in enumerate(vocab.head)}
+        rest = [w for w in vocab.counts if w not in rank]
+        self.code = rank | {w: HEAD + i for i, w in enumerate(rest)}
+        # by code: the network's input, and log10 of count + 1/2
+        self.input = np.concatenate([np.arange(HEAD), [HEAD + tail_class(w) for w in rest]]).astype(np.int32)
+        self.log = np.zeros(len(self.input))
+        for w, i in self.code.items():
+            self.log[i] = math.log10(vocab.counts[w] + 0.5)
+        self.rare: dict[bytes, int] = {}
+
+    def __call__(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """(codes, inputs, the tokens without a code)."""
+        codes = np.fromiter(map(self.code.get, tokens, repeat(-1)), np.int32, len(tokens))
+        at = np.flatnonzero(codes < 0).tolist()
+        ids, rare = self.input[codes], [tokens[i] for i in at]
+        if at:
+            known = self.rare
+            if len(known) > 200_000:
                 known.clear()
-            for w in set(tokens).difference(known):
-                i = self.index.get(w)
-                known[w] = HEAD + tail_class(w) if i is None else i
-            return np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens))
+            for w in rare:
+                if w not in known:
+                    known[w] = HEAD + tail_class(w)
+            ids[at] = [known[w] for w in rare]
+        return codes, ids, rare
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -316,7 +324,15 @@ def vocabulary(counts: DataFrame, known_types: int = 100_000, longest: int = 40)
     """Of a stored table of token counts. known_types and longest bound what is
     broadcast; all other types are looked up by a join."""
     short = counts.where(F.length("token") <= longest)
-    top = short.orderBy(F.desc("n"), "token").limit(known_types).collect()
+    # the largest counts that known_types types reach, by counts of steps of a 16th of a power of two
+    step = F.floor(F.log2("n") * 16)
+    sizes = sorted(((r[0], r[1]) for r in short.groupBy(step.alias("s")).count().collect()), reverse=True)
+    least, held = None, 0
+    for s, n in sizes:
+        if held + n > known_types:
+            break
+        least, held = s, held + n
+    top = sorted(short.where(step >= least).collect(), key=lambda r: (-r.n, r.token)) if least is not None else []
     known = {r.token.encode(): r.n for r in top}
     head = [r.token.encode() for r in top[:HEAD]]
     if END in known and END not in head:
@@ -352,7 +368,7 @@ def train(rows: DataFrame, vocab: Vocabulary, *, share: int = 20, rounds: int =
                     tokens = tokens_of(text.as_py())
                     n = min(len(tokens), max(32, len(tokens) // share))
                     at = zlib.crc32(f"{doc} {k}".encode()) % (len(tokens) - n + 1)
-                    runs.append(index(tokens[at : at + n]))
+                    runs.append(index(tokens[at : at + n])[1])
             weight = float(sum(map(len, runs)))
             if weight:
                 made = pack(train_local(shared.value, runs, **options)).astype(np.float64) * weight
@@ -397,27 +413,24 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         vocab, params = shared.value
-        index, known, row = _Tokens(vocab), vocab.counts, TaskContext.get().partitionId() << 40
-        logs = {w: math.log10(n + 0.5) for w, n in known.items()}
+        index, row = _Tokens(vocab), TaskContext.get().partitionId() << 40
         mass = np.log10(np.maximum(vocab.class_count + 0.5 * (vocab.class_types + 1), 1e-300))
         unit = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int64())]))
         names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "neural", "tail"]
         kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), unit]
-        get, head = logs.get, vocab.index
         for b in batches:
             for a in range(0, b.num_rows, batch):
                 part, meta, seqs = b.slice(a, batch), [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                     tokens = tokens_of(text.as_py())
-                    ids = index(tokens)
-                    found = list(map(get, tokens))
-                    rare = Counter(t for t, v in zip(tokens, found, strict=True) if v is None)
-                    base = math.fsum(filter(None, found))
-                    # known tail tokens: their share of their class; the rest comes from the join
+                    codes, ids, left = index(tokens)
+                    rare = Counter(left)
+                    logs = np.where(codes >= 0, index.log[codes], 0.0)
+                    base = float(logs.sum())
+                    # tail tokens: their share of their class; that of unknown types comes from the join
                     in_tail = ids >= HEAD
-                    tails = ids[in_tail] - HEAD
-                    own = math.fsum(v for v, t in zip(found, in_tail.tolist(), strict=True) if t and v is not None) - float(mass[tails].sum())
-                    meta.append((row, doc, held_out(doc), len(tokens), len(tokens) - rare.total(), base, own, [{"token": t.decode(), "tf": n} for t, n in rare.items()]))
+                    own = float(logs[in_tail].sum()) - float(mass[ids[in_tail] - HEAD].sum())
+                    meta.append((row, doc, held_out(doc), len(tokens), len(tokens) - len(left), base, own, [{"token": t.decode(), "tf": n} for t, n in rare.items()]))
                     row += 1
                     seqs.append(ids)
                 neural = score_local(params, seqs) / LN10

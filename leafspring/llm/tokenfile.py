@@ -16,12 +16,12 @@ index, and reads that block alone."""
 
 from __future__ import annotations
 
-import re
 import struct
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -159,55 +159,50 @@ class ShardReader:
         return [ids for b in range(lo, hi) for k, ids in self._entries(b) if k == key]
 
 
-#: Characters outside these long-settled ranges may be classed differently by
-#: two versions of Unicode; texts that hold any go to the library whole.
-_UNSETTLED = re.compile("[^\x00-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bd\u3041-\u3096\u30a1-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
-
-
 class CachedEncoder:
-    """Ids of texts under a BPE file of the tokenizers library that lower-cases
-    and drops white space. Such a file encodes each piece of its split pattern
-    on its own, so the ids of a piece are asked from the library once and kept;
-    the cache is emptied at most pieces. Files of any other make-up are passed
-    to the library text by text."""
+    """Ids of texts under a BPE file of the tokenizers library that drops white
+    space and whose normaliser works character by character. Such a file encodes
+    what stands between blanks on its own, so the library is asked once for each
+    such stretch, and its ids are kept; beyond most of them the cache starts
+    anew. Files of any other make-up are passed to the library text by text."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.most, self.known, self.pattern = most, {}, None
+        self.most, self.known = most, {}
         spec = json.loads(open(path, encoding="utf-8").read())
         self.width = 2 if max(spec["model"]["vocab"].values()) < 65536 else 4
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         pre = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
-        if steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"]:
-            if pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not pre[1]["add_prefix_space"]:
-                self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
+        self.apart = (
+            steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"]
+            and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not pre[1]["add_prefix_space"]
+        )
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.apart:
+            return [np.array(e.ids, "<u4") for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        parts, known = [t.encode().split() for t in texts], self.known
+        new = set(chain.from_iterable(parts)).difference(known)
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = set(chain.from_iterable(parts))
+        some = list(new)
+        for at in range(0, len(some), 10_000):
+            keys = some[at : at + 10_000]
+            for k, e in zip(keys, self.tok.encode_batch_fast([k.decode() for k in keys], add_special_tokens=False), strict=True):
+                known[k] = np.array(e.ids, "<u4").tobytes()
+        get = known.__getitem__
+        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in parts]
 
     def __call__(self, text: str) -> np.ndarray:
-        import unicodedata
-
-        if self.pattern is None or _UNSETTLED.search(text):
-            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
-        if text.isascii():
-            low = text.lower()
-        else:  # the library lower-cases character by character: no final sigma
-            low = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        pieces, known = self.pattern.findall(low), self.known
-        new = [p for p in set(pieces) if p not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4")
+        return self.batch([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -245,12 +240,13 @@ def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id: int =
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part_rows = b.slice(at, 256)
-                for doc, text in zip(part_rows.column(0).to_pylist(), part_rows.column(1).to_pylist(), strict=True):
+                made = enc.batch([t or "" for t in part_rows.column(1).to_pylist()])
+                for doc, ids in zip(part_rows.column(0).to_pylist(), made, strict=True):
                     if writer is None:
                         path = f"{base}/{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.sst"
                         stream = where.open_output_stream(path)
                         writer = ShardWriter(stream, enc.width)
-                    writer.add(doc, np.concatenate([enc(text or ""), end]))
+                    writer.add(doc, np.concatenate([ids, end]))
                     if writer.at >= shard_bytes:
                         close()
                         writer = None
