@@ -1,4 +1,138 @@
-"""Registered queries of the document engine and their SQL."""
+"""Registered queries of the document engine and their SQL. Layout items, tags
+and tables of contents are derived from the standard tables, whole."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import document as D
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def items(spark, sf_dir):
+    """A document's lines as layout items, five to a page."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "text"))
+    kind = F.when(F.col("ord") % 17 == 16, "header").when(F.col("ord") % 11 == 10, "page_footnote").otherwise("text")
+    level = F.when(F.col("ord") % 7 == 3, 1).when(F.col("ord") % 13 == 6, 2)
+    return d.select("doc_id", "ord", kind.alias("type"), F.expr("cast(ord div 5 as int)").alias("page_idx"), "text", level.alias("text_level"))
+
+
+def units(spark, sf_dir):
+    return D.exclude_references(D.sentence_units(D.label_items(items(spark, sf_dir))))
+
+
+LINE = "concat('We set t = ', l_linenumber, ' with scale γβ. See Fig. ', l_linenumber, ' for $K$ > ', cast(l_quantity as int), ' and P($A$, $B$) = x. Table ', l_linenumber, ': Ω rows by J. Doe.')"
+SQL_LINE = "'We set t = ' || l_linenumber || ' with scale γβ. See Fig. ' || l_linenumber || ' for $K$ > ' || cast(l_quantity as int) || ' and P($A$, $B$) = x. Table ' || l_linenumber || ': Ω rows by J. Doe.'"
+
+
+def lines(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(LINE).alias("t"))
+
+
+def per_line(name, column):
+    def query(spark, sf_dir):
+        return lines(spark, sf_dir).select("l_orderkey", "l_linenumber", column(F.col("t")).alias(name))
+
+    return query
+
+
+def sentences(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+def toc(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("toc_ord"), F.expr("int(o_orderkey % 2 + 1)").alias("level"), F.expr("o_orderkey * 7 % 97 + 1").alias("page"), F.lit(100).cast("long").alias("page_count"))
+
+
+TAG = "case l_linenumber % 7 when 0 then concat('P', l_orderkey, '-TITLE') when 1 then concat('P', l_orderkey, '-HEADING-', l_linenumber, '.2.references') when 2 then concat('P', l_orderkey, '-S3-1.intro-S', l_linenumber) when 3 then concat('P', l_orderkey, '-FIG2-CAPTION-S', l_linenumber) when 4 then concat('P', l_orderkey, '-EQ1-LATEX') when 5 then concat('P', l_orderkey, '-UNKNOWN-code-1') else concat('X', l_orderkey) end"
+
+
+def tags(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(TAG).alias("tag"))
+    tag = F.col("tag")
+    return d.select("l_orderkey", "l_linenumber", "tag", T.classify_tag(tag).alias("kind"), T.section_slug(tag).alias("slug"), T.in_references(T.section_slug(tag)).alias("in_references"), T.paragraph_key(tag).alias("para"), T.heading_level(T.section_slug(tag)).cast("long").alias("level"))
+
+
+def compounds(spark, sf_dir):
+    words = table(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word")).where("word <> ''")
+    counts = words.groupBy("word").count()
+    return D.restore_compounds(counts.select("word"), counts.where("count >= 20").select("word"))
+
+
+def headings(spark, sf_dir):
+    return D.label_items(items(spark, sf_dir)).select("doc_id", "ord", "page", "label", "is_heading", "heading_id", "section")
+
+
+QUERIES = {
+    "sentence_split_counts": lambda s, d: sentences(s, d).groupBy("doc_id").agg(F.count("*").alias("n")),
+    "sentence_explode": sentences,
+    "front_matter_and_sections": headings,
+    "sentence_units": units,
+    "noise_filter": lambda s, d: D.drop_noise(items(s, d)).groupBy("type").agg(F.count("*").alias("n")),
+    "document_context": lambda s, d: D.document_context(units(s, d)),
+    "translation_context": lambda s, d: D.translation_context(units(s, d)).select("doc_id", "ord", "pos", "tag", "context"),
+    "translate": lambda s, d: D.merge_math(D.translate(units(s, d))).select("doc_id", "ord", "pos", "tag", "en_text", "ja_text"),
+    "paragraph_blocks": lambda s, d: D.paragraph_blocks(units(s, d)).select("doc_id", "ord", "pos", "tag", "block_id"),
+    "block_html": lambda s, d: D.block_html(units(s, d)),
+    "page_markdown": lambda s, d: D.page_markdown(units(s, d), 1, 3),
+    "parse_tagged": lambda s, d: D.parse_tagged(D.page_markdown(units(s, d), 1, 9).select(F.col("doc_id").alias("f"), F.col("page").alias("p"), F.posexplode(F.split("body", "\n")).alias("n", "line")).select(F.col("f").alias("doc_id"), (F.col("p") * 1_000_000 + F.col("n")).alias("ord"), "line")),
+    "wrap_letter_equals": per_line("out", T.wrap_letter_equals),
+    "wrap_greek": per_line("out", T.wrap_greek),
+    "protect_math": per_line("out", T.protect),
+    "math_span_count": per_line("out", lambda t: F.size(T.math_spans(t)).cast("long")),
+    "normalize_math": per_line("out", T.normalize_math),
+    "leak_candidates": per_line("out", lambda t: F.array_join(T.leak_candidates(t), "|")),
+    "function_calls": per_line("out", lambda t: T.replace_first(t, T.function_calls(t))),
+    "comparisons": per_line("out", lambda t: T.replace_first(t, T.comparisons(t))),
+    "caption_labels": lambda s, d: lines(s, d).select("l_orderkey", "l_linenumber", T.caption_kind(F.expr("substring(t, instr(t, 'Table'))")).alias("kind"), T.caption_number(F.expr("substring(t, instr(t, 'Table'))")).cast("long").alias("number")),
+    "tag_functions": tags,
+    "html_escape": lambda s, d: table(s, d, "pages").select("page_id", T.html_escape(F.col("html")).alias("escaped")),
+    "chapter_ranges": lambda s, d: D.chapter_ranges(toc(s, d)),
+    "compound_restore": compounds,
+    "content_fingerprint": lambda s, d: D.content_fingerprint(table(s, d, "documents")),
+}
+
+_ABBR = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
+_SPLIT = rf"""
+with m as (select doc_id, regexp_replace(text, '([.!?]+["''”)\]]*)[\s\x0B]+([A-Z0-9"“(])', '\1' || chr(1) || '\2', 'g') as t from documents),
+k as (select doc_id, regexp_replace(regexp_replace(t, '((?:^|[\s\x01])[^\s\w\x01]*(?:(?i:{_ABBR})|[A-Z]\.))\x01', '\1 ', 'g'), '((?:^|[\s\x01])[^\s\w\x01]*(?:(?i:{_ABBR})|[A-Z]\.))\x01', '\1 ', 'g') as t from m),
+p as (select doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '') as parts from k)
+"""
+_ITEMS = """
+with i as (select doc_id, unnest(range(len(string_split(text, chr(10))))) as ord, string_split(text, chr(10)) as ls from documents),
+it as (select doc_id, ord, case when ord % 17 = 16 then 'header' when ord % 11 = 10 then 'page_footnote' else 'text' end as type from i)
+"""
+
+
+def _lines_sql(expr: str) -> str:
+    return f"with l as (select l_orderkey, l_linenumber, l_quantity, {SQL_LINE} as t from lineitem) select l_orderkey, l_linenumber, {expr} as out from l"
+
+
+ORACLE_SQL = {
+    "sentence_split_counts": _SPLIT + "select doc_id, len(parts)::bigint as n from p where len(parts) > 0",
+    "sentence_explode": _SPLIT + "select doc_id, (i - 1)::int as pos, parts[i] as sentence from p, unnest(range(1, len(parts) + 1)) as u(i)",
+    "noise_filter": _ITEMS + "select type, count(*) as n from it where type <> 'header' group by type",
+    "wrap_letter_equals": _lines_sql("replace(replace(t, 't = ' || l_linenumber, '$t = ' || l_linenumber || '$'), '', '')"),
+    "wrap_greek": _lines_sql(r"replace(replace(t, 'γβ', '$\gamma\beta$'), 'Ω', '$\Omega$')"),
+    "protect_math": _lines_sql("replace(replace(replace(t, '$K$', '__MATH0__'), '$A$', '__MATH1__'), '$B$', '__MATH2__')"),
+    "math_span_count": _lines_sql(r"len(regexp_extract_all(t, '\$[^$\n]+\$'))::bigint"),
+    "normalize_math": _lines_sql("t"),
+    "function_calls": _lines_sql("replace(t, 'P($A$, $B$)', '$P(A, B)$')"),
+    "comparisons": _lines_sql("replace(t, '$K$ > ' || cast(l_quantity as int), '$K > ' || cast(l_quantity as int) || '$')"),
+    "leak_candidates": _lines_sql(r"array_to_string(list_filter(regexp_extract_all(regexp_replace(t, '\$[^$\n]+\$', '', 'g'), '[\x21-\x7EΑ-Ωα-ω](?:[\x20-\x7EΑ-Ωα-ω]*[\x21-\x7EΑ-Ωα-ω])?'), lambda s: regexp_matches(s, '[A-Za-zΑ-Ωα-ω]') and (length(s) <= 4 or regexp_matches(s, '[()=_^{}]'))), '|')"),
+    "caption_labels": "select l_orderkey, l_linenumber, 'table' as kind, l_linenumber::bigint as number from lineitem",
+    "tag_functions": f"""with t as (select l_orderkey, l_linenumber, {TAG} as tag from lineitem),
+s as (select *, case when regexp_matches(tag, '^P\\d+-HEADING-') then regexp_extract(tag, '^P\\d+-HEADING-(.*)$', 1) else regexp_extract(tag, '^P\\d+-S\\d+-(.*)-S\\d+$', 1) end as slug from t)
+select l_orderkey, l_linenumber, tag, slug, case l_linenumber % 7 when 0 then 'title' when 1 then 'heading' when 2 then 'body_sentence' when 3 then 'caption_sentence' when 4 then 'equation_latex' else 'unknown' end as kind,
+slug like '%references' as in_references, case l_linenumber % 7 when 2 then concat('P', l_orderkey, '-1.intro') when 3 then concat('P', l_orderkey, '-FIG2-CAPTION') else tag end as para,
+case l_linenumber % 7 when 1 then 3 else 2 end::bigint as level from s""",
+    "html_escape": "select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') as escaped from pages",
+    "chapter_ranges": "with t as (select o_custkey as doc_id, o_orderkey as toc_ord, o_orderkey % 2 + 1 as level, o_orderkey * 7 % 97 + 1 as page from orders), m as (select *, min(level) over (partition by doc_id) as top from t) select doc_id, row_number() over (partition by doc_id order by toc_ord) as chapter, page as first, coalesce(min(page) over (partition by doc_id order by page range between 1 following and unbounded following) - 1, 100)::bigint as last from m where level = top",
+    "compound_restore": "with w as (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as word from documents), c as (select word, count(*) as n from w where word <> '' group by word), k as (select word from c where n >= 20), o as (select word from c where length(word) >= 6 and n < 20), s as (select word, i, word[1:i] as a, word[i+1:] as b from o, unnest(range(3, length(word) - 2)) as u(i)) select word, min_by(a || '-' || b, i) as fixed from s where a in (select word from k) and b in (select word from k) group by word",
+    "content_fingerprint": "select doc_id, sha256(text) as sha256 from documents",
+}

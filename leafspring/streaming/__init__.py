@@ -1,0 +1,9 @@
+"""Documents as a stream: a document is whole in its batch, so the operators
+run unchanged on each."""
+
+from __future__ import annotations
+
+
+def each_batch(stream, operator, path: str, checkpoint: str):
+    """Apply operator to every batch of a stream and append its rows to path."""
+    return stream.writeStream.foreachBatch(lambda df, _: operator(df).write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).start()
