@@ -16,7 +16,9 @@ index, and reads that block alone."""
 
 from __future__ import annotations
 
+import re
 import struct
+import unicodedata
 import uuid
 import zlib
 from bisect import bisect_left, bisect_right
@@ -159,14 +161,20 @@ class ShardReader:
         return [ids for b in range(lo, hi) for k, ids in self._entries(b) if k == key]
 
 
+#: Characters outside these long-settled ranges may be classed differently by
+#: two versions of Unicode; stretches that hold any go to the library whole.
+_UNSETTLED = re.compile("[^\x00-\u052f\u2010-\u2027\u2030-\u205e\u20a0-\u20bd\u3041-\u3096\u30a1-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
+
+
 class CachedEncoder:
     """Ids of texts under a BPE file of the tokenizers library that drops white
     space and whose normaliser works character by character. Such a file encodes
-    what stands between blanks on its own, so the library is asked once for each
-    such stretch, and its ids are kept; beyond most of them the cache starts
-    anew. Files of any other make-up are passed to the library text by text."""
+    what stands between blanks on its own, and in it each piece of its split
+    pattern, so the library is asked once for a piece; ids of pieces and of
+    stretches between blanks are kept, about most of either. Files of any other
+    make-up are passed to the library text by text."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         import json
         import os
 
@@ -175,7 +183,7 @@ class CachedEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.most, self.known = most, {}
+        self.most, self.known, self.pieces = most, {}, {}
         spec = json.loads(open(path, encoding="utf-8").read())
         self.width = 2 if max(spec["model"]["vocab"].values()) < 65536 else 4
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -184,22 +192,42 @@ class CachedEncoder:
             steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"]
             and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not pre[1]["add_prefix_space"]
         )
+        if self.apart:
+            import regex
+
+            self.cut = regex.compile(pre[0]["pattern"]["Regex"]).findall
+
+    def _pieces(self, stretch: bytes) -> list[str]:
+        text = stretch.decode()
+        if text.isascii():
+            return self.cut(text.lower())
+        if _UNSETTLED.search(text):
+            return [text]
+        # the library lower-cases character by character: no final sigma
+        return self.cut(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         if not self.apart:
             return [np.array(e.ids, "<u4") for e in self.tok.encode_batch(texts, add_special_tokens=False)]
         parts, known = [t.encode().split() for t in texts], self.known
         new = set(chain.from_iterable(parts)).difference(known)
-        if len(known) + len(new) > self.most:
-            known.clear()
-            new = set(chain.from_iterable(parts))
-        some = list(new)
+        cut = {k: self._pieces(k) for k in new}
+        have = self.pieces
+        miss = set(chain.from_iterable(cut.values())).difference(have)
+        some = list(miss)
         for at in range(0, len(some), 10_000):
             keys = some[at : at + 10_000]
-            for k, e in zip(keys, self.tok.encode_batch_fast([k.decode() for k in keys], add_special_tokens=False), strict=True):
-                known[k] = np.array(e.ids, "<u4").tobytes()
+            for k, e in zip(keys, self.tok.encode_batch_fast(keys, add_special_tokens=False), strict=True):
+                have[k] = np.array(e.ids, "<u4").tobytes()
+        for k, p in cut.items():
+            known[k] = have[p[0]] if len(p) == 1 else b"".join(map(have.__getitem__, p))
         get = known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), "<u4") for p in parts]
+        out = [np.frombuffer(b"".join(map(get, p)), "<u4") for p in parts]
+        for held, fresh in ((known, new), (have, miss)):
+            if len(held) > self.most:  # full: what came first, which is the most frequent, stays
+                for k in fresh:
+                    del held[k]
+        return out
 
     def __call__(self, text: str) -> np.ndarray:
         return self.batch([text])[0]
