@@ -347,11 +347,12 @@ def vocabulary(counts: DataFrame, known_types: int = 100_000, longest: int = 40)
     return Vocabulary(head, known, total[0] or 0, total[1], n, t)
 
 
-def train(rows: DataFrame, vocab: Vocabulary, *, share: int = 20, rounds: int = 2, **options) -> dict:
+def train(rows: DataFrame, vocab: Vocabulary, *, share: int = 20, rounds: int = 1, **options) -> dict:
     """Every training document takes part with a run of 1/share of its tokens
     (32 at least), at a place that its hash chooses, in another place each round.
     Each task fits a model on its runs, from the common one; the models' mean,
-    weighted by tokens, is the next common one. Sums are built in a tree, so that
+    weighted by tokens, is the next common one (or, after the last round, the
+    result). Sums are built in a tree, so that
     few blocks of parameters (0.4 MB each) reach the driver at any size."""
     spark = rows.sparkSession
     params = initial(vocab)
