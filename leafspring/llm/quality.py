@@ -146,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, *, per_grade: int = 3000, id_col:
             rows = [np.array(sorted({bucket(t) for t in tokens_of(x)}), "<i4").tobytes() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["doc_id", "grade", "buckets"])
 
-    found = texts.join(chosen, "doc_id").select("doc_id", "grade", "text").mapInArrow(hashed, "doc_id long, grade int, buckets binary").collect()
+    # chosen has about 3 * per_grade ids at most, whatever the size of the tables
+    found = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "grade", "text").mapInArrow(hashed, "doc_id long, grade int, buckets binary").collect()
     found.sort(key=lambda r: (r.doc_id, bytes(r.buckets)))
     rows = [np.frombuffer(bytes(r.buckets), "<i4") for r in found]
     shares = np.array([sizes.get(g, 0) for g in range(3)], float)
