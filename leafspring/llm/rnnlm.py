@@ -97,7 +97,11 @@ def unpack(v: np.ndarray) -> dict:
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def recur(p: dict, ids: np.ndarray, h: np.ndarray, keep: list | None = None):
@@ -105,13 +109,18 @@ def recur(p: dict, ids: np.ndarray, h: np.ndarray, keep: list | None = None):
     out = np.empty((len(ids), *h.shape), np.float32)
     s = STATE
     xb = p["x"] + p["b"]
+    to_gates, to_state = np.ascontiguousarray(xb[:, : 2 * s]), np.ascontiguousarray(xb[:, 2 * s :])
+    gates, state = np.ascontiguousarray(p["h"][:, : 2 * s]), np.ascontiguousarray(p["h"][:, 2 * s :])
     for t in range(len(ids)):
         out[t] = h
-        gx = xb[ids[t]]
-        rz = _sigmoid(gx[:, : 2 * s] + h @ p["h"][:, : 2 * s])
+        rz = h @ gates
+        rz += to_gates[ids[t]]
+        _sigmoid(rz)
         r, z = rz[:, :s], rz[:, s:]
         rh = r * h
-        c = np.tanh(gx[:, 2 * s :] + rh @ p["h"][:, 2 * s :])
+        c = rh @ state
+        c += to_state[ids[t]]
+        np.tanh(c, out=c)
         if keep is not None:
             keep.append((rz, rh, c))
         h = h + z * (c - h)
@@ -122,22 +131,34 @@ def class_of(ids: np.ndarray) -> np.ndarray:
     return np.where(ids < HEAD, ids // CLASS_SIZE, ids - HEAD + HEAD_CLASSES)
 
 
-def _log_softmax(x):
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def _softmax(x):
+    """In place."""
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
+
+
+def _log_at(x, k):
+    """The log-softmax of each row of x at its column k."""
+    at = x[np.arange(len(k)), k]
+    top = x.max(-1)
+    x -= top[:, None]
+    np.exp(x, out=x)
+    return at - top - np.log(x.sum(-1))
 
 
 def token_logs(p: dict, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """ln P of each token (of its class alone for tail tokens), given flat
     states (N, STATE) and ids (N)."""
     k = class_of(ids)
-    out = _log_softmax(states @ p["cw"] + p["cb"])[np.arange(len(ids)), k].astype(np.float64)
+    out = _log_at(states @ p["cw"] + p["cb"], k).astype(np.float64)
     order = np.argsort(k, kind="stable")
     bounds = np.searchsorted(k[order], np.arange(HEAD_CLASSES + 1))
     for c in range(HEAD_CLASSES):
         at = order[bounds[c] : bounds[c + 1]]
         if len(at):
-            out[at] += _log_softmax(states[at] @ p["ww"][c] + p["wb"][c])[np.arange(len(at)), ids[at] % CLASS_SIZE]
+            out[at] += _log_at(states[at] @ p["ww"][c] + p["wb"][c], ids[at] % CLASS_SIZE)
     return out
 
 
@@ -151,15 +172,18 @@ def gradients(p: dict, ids: np.ndarray, goal: np.ndarray, mask: np.ndarray, h0:
     flat, want, use = after.reshape(-1, STATE), goal.ravel(), mask.ravel()
     n = max(1.0, float(use.sum()))
     k = class_of(want)
-    prob = np.exp(_log_softmax(flat @ p["cw"] + p["cb"]))
+    prob = _softmax(flat @ p["cw"] + p["cb"])
     prob[np.arange(len(k)), k] -= 1
     prob *= (use / n)[:, None]
     g = {"cw": flat.T @ prob, "cb": prob.sum(0), "ww": np.zeros_like(p["ww"]), "wb": np.zeros_like(p["wb"])}
     d_after = prob @ p["cw"].T
+    live = np.flatnonzero(use > 0)
+    order = live[np.argsort(k[live], kind="stable")]
+    bounds = np.searchsorted(k[order], np.arange(HEAD_CLASSES + 1))
     for c in range(HEAD_CLASSES):
-        at = np.nonzero((k == c) & (use > 0))[0]
+        at = order[bounds[c] : bounds[c + 1]]
         if len(at):
-            q = np.exp(_log_softmax(flat[at] @ p["ww"][c] + p["wb"][c]))
+            q = _softmax(flat[at] @ p["ww"][c] + p["wb"][c])
             q[np.arange(len(at)), want[at] % CLASS_SIZE] -= 1
             q /= n
             g["ww"][c], g["wb"][c] = flat[at].T @ q, q.sum(0)
@@ -167,9 +191,8 @@ def gradients(p: dict, ids: np.ndarray, goal: np.ndarray, mask: np.ndarray, h0:
     d_after = d_after.reshape(t_len, b, STATE)
     s, dh = STATE, np.zeros((b, STATE), np.float32)
     d_in = np.empty((t_len, b, 3 * s), np.float32)
-    g["h"] = np.zeros_like(p["h"])
     for t in range(t_len - 1, -1, -1):
-        rz, rh, c = kept[t]
+        rz, _, c = kept[t]
         h, r, z = before[t], rz[:, :s], rz[:, s:]
         dh = dh + d_after[t]
         dc = dh * z * (1 - c * c)
@@ -178,11 +201,11 @@ def gradients(p: dict, ids: np.ndarray, goal: np.ndarray, mask: np.ndarray, h0:
         dr = drh * h * r * (1 - r)
         both = np.concatenate([dr, dz], 1)
         d_in[t, :, : 2 * s], d_in[t, :, 2 * s :] = both, dc
-        g["h"][:, : 2 * s] += h.T @ both
-        g["h"][:, 2 * s :] += rh.T @ dc
         dh = dh * (1 - z) + drh * r + both @ p["h"][:, : 2 * s].T
     rows = d_in.reshape(-1, 3 * s)
     g["b"] = rows.sum(0)
+    reset = np.stack([rh for _, rh, _ in kept]).reshape(-1, s)
+    g["h"] = np.concatenate([before.reshape(-1, s).T @ rows[:, : 2 * s], reset.T @ rows[:, 2 * s :]], 1)
     order = np.argsort(ids.ravel(), kind="stable")
     kinds, first = np.unique(ids.ravel()[order], return_index=True)
     g["x"] = np.zeros_like(p["x"])
@@ -197,7 +220,7 @@ class Adam:
 
     def step(self, p: dict, g: dict, scale: float = 1.0) -> None:
         self.t += 1
-        norm = math.sqrt(sum(float((x.astype(np.float64) ** 2).sum()) for x in g.values()))
+        norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
         clip = min(1.0, 1.0 / max(norm, 1e-12))
         rate = self.rate * scale * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
         for k in p:
