@@ -98,6 +98,28 @@ def translate(units: DataFrame, backend=None) -> DataFrame:
     return d.withColumn("ja_text", T.restore(done, T.math_spans(F.col("en_text"))))
 
 
+def protect_letters(units: DataFrame) -> DataFrame:
+    """Single letters left over in ja_text that stand alone, outside maths, in
+    both texts become maths in both; a later one sees the earlier edits."""
+    todo = F.filter(F.transform(T.leak_candidates(F.col("ja_text")), T.strip_unpaired), lambda t: t.rlike(r"^[A-Za-z]\z"))
+
+    def wrap(acc, t):
+        alone = F.concat(F.lit("(?<![A-Za-z0-9])"), t, F.lit("(?![A-Za-z0-9])"))
+        plain = {k: T.protect(acc[k]) for k in ("en", "ja")}
+        both = F.regexp_like(plain["en"], alone) & F.regexp_like(plain["ja"], alone)
+        put = F.concat(F.lit("\\$"), t, F.lit("\\$"))
+        done = {k: T.restore(F.regexp_replace(plain[k], alone, put), T.math_spans(acc[k])) for k in plain}
+        return F.struct(*[F.when(both, done[k]).otherwise(acc[k]).alias(k) for k in done])
+
+    d = units.withColumn("_t", F.aggregate(todo, F.struct(F.col("en_text").alias("en"), F.col("ja_text").alias("ja")), wrap))
+    return d.withColumn("en_text", F.col("_t.en")).withColumn("ja_text", F.col("_t.ja")).drop("_t")
+
+
+def repair_math(units: DataFrame) -> DataFrame:
+    """Letters first: a comparison may be merged with one that became maths."""
+    return merge_math(protect_letters(units))
+
+
 def merge_math(units: DataFrame) -> DataFrame:
     """Function calls, then comparisons, drawn into their maths spans in ja_text;
     in en_text too where the same literal stands."""
@@ -130,6 +152,26 @@ def block_html(units: DataFrame, column: str = "en_text") -> DataFrame:
     return d.select("doc_id", "block_id", F.concat(F.lit("<"), name, F.lit(">"), F.col("inner"), F.lit("</"), name, F.lit(">")).alias("html"))
 
 
+def bilingual_html(units: DataFrame) -> DataFrame:
+    """One element per block with en_text and ja_text side by side, a row each
+    sentence; authors and affiliations, and equations, in one column."""
+    en, ja = T.html_escape(F.col("en_text")), T.html_escape(F.coalesce("ja_text", "en_text"))
+    strong = lambda c: F.when(F.col("kind") == "title", F.concat(F.lit("<strong>"), c, F.lit("</strong>"))).otherwise(c)
+    row = F.concat(F.lit('<tr><td class="en">'), strong(en), F.lit('</td><td class="ja">'), strong(ja), F.lit("</td></tr>"))
+    d = paragraph_blocks(units).groupBy("doc_id", "block_id").agg(
+        F.min(F.struct("ord", "pos", "kind", "tag", en.alias("en"))).alias("first"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "pos", row.alias("r")))), lambda s: s["r"]), "").alias("rows"),
+    )
+    level = T.heading_level(T.section_slug(F.col("first.tag"))).cast("string")
+    kind = F.col("first.kind")
+    extra = F.when(kind == "title", " title-block").when(kind == "heading", F.concat(F.lit(" heading-block level-"), level)).otherwise("")
+    one = F.when(kind.isin("authors", "affil"), "meta").when(kind == "equation_latex", "equation")
+    html = F.when(one.isNotNull(), F.concat(F.lit('<div class="'), one, F.lit('">'), F.col("first.en"), F.lit("</div>"))).otherwise(
+        F.concat(F.lit('<table class="bilingual'), extra, F.lit('">'), F.col("rows"), F.lit("</table>"))
+    )
+    return d.select("doc_id", "block_id", html.alias("html"))
+
+
 def page_markdown(units: DataFrame, first: int, last: int) -> DataFrame:
     """A page's tagged lines; pages of the range without units are empty."""
     line = F.concat(F.lit("["), F.col("tag"), F.lit("] "), F.col("en_text"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import document as D
+from . import layout_queries
 
 
 def table(spark, sf_dir, name):
@@ -80,6 +81,7 @@ QUERIES = {
     "paragraph_blocks": lambda s, d: D.paragraph_blocks(units(s, d)).select("doc_id", "ord", "pos", "tag", "block_id"),
     "block_html": lambda s, d: D.block_html(units(s, d)),
     "page_markdown": lambda s, d: D.page_markdown(units(s, d), 1, 3),
+    "bilingual_html": lambda s, d: D.bilingual_html(D.translate(units(s, d))),
     "parse_tagged": lambda s, d: D.parse_tagged(D.page_markdown(units(s, d), 1, 9).select(F.col("doc_id").alias("f"), F.col("page").alias("p"), F.posexplode(F.split("body", "\n")).alias("n", "line")).select(F.col("f").alias("doc_id"), (F.col("p") * 1_000_000 + F.col("n")).alias("ord"), "line")),
     "wrap_letter_equals": per_line("out", T.wrap_letter_equals),
     "wrap_greek": per_line("out", T.wrap_greek),
@@ -136,3 +138,6 @@ case l_linenumber % 7 when 1 then 3 else 2 end::bigint as level from s""",
     "compound_restore": "with w as (select unnest(regexp_split_to_array(lower(text), '[^a-z]+')) as word from documents), c as (select word, count(*) as n from w where word <> '' group by word), k as (select word from c where n >= 20), o as (select word from c where length(word) >= 6 and n < 20), s as (select word, i, word[1:i] as a, word[i+1:] as b from o, unnest(range(3, length(word) - 2)) as u(i)) select word, min_by(a || '-' || b, i) as fixed from s where a in (select word from k) and b in (select word from k) group by word",
     "content_fingerprint": "select doc_id, sha256(text) as sha256 from documents",
 }
+
+QUERIES |= layout_queries.QUERIES
+ORACLE_SQL |= layout_queries.ORACLE_SQL
