@@ -190,22 +190,27 @@ def gradients(p: dict, ids: np.ndarray, goal: np.ndarray, mask: np.ndarray, h0:
             d_after[at] += q @ p["ww"][c].T
     d_after = d_after.reshape(t_len, b, STATE)
     s, dh = STATE, np.zeros((b, STATE), np.float32)
+    rz, reset, c = map(np.stack, zip(*kept, strict=True))
+    r, z = np.ascontiguousarray(rz[..., :s]), rz[..., s:]
+    # what the loop multiplies by, for all steps at once
+    still = 1 - z
+    to_c, to_z, to_r = z * (1 - c * c), (c - before) * z * still, before * r * (1 - r)
+    back_state, back_gates = np.ascontiguousarray(p["h"][:, 2 * s :].T), np.ascontiguousarray(p["h"][:, : 2 * s].T)
     d_in = np.empty((t_len, b, 3 * s), np.float32)
     for t in range(t_len - 1, -1, -1):
-        rz, _, c = kept[t]
-        h, r, z = before[t], rz[:, :s], rz[:, s:]
-        dh = dh + d_after[t]
-        dc = dh * z * (1 - c * c)
-        dz = dh * (c - h) * z * (1 - z)
-        drh = dc @ p["h"][:, 2 * s :].T
-        dr = drh * h * r * (1 - r)
-        both = np.concatenate([dr, dz], 1)
-        d_in[t, :, : 2 * s], d_in[t, :, 2 * s :] = both, dc
-        dh = dh * (1 - z) + drh * r + both @ p["h"][:, : 2 * s].T
+        row = d_in[t]
+        dh += d_after[t]
+        np.multiply(dh, to_z[t], out=row[:, s : 2 * s])
+        np.multiply(dh, to_c[t], out=row[:, 2 * s :])
+        drh = row[:, 2 * s :] @ back_state
+        np.multiply(drh, to_r[t], out=row[:, :s])
+        drh *= r[t]
+        dh *= still[t]
+        dh += drh
+        dh += row[:, : 2 * s] @ back_gates
     rows = d_in.reshape(-1, 3 * s)
     g["b"] = rows.sum(0)
-    reset = np.stack([rh for _, rh, _ in kept]).reshape(-1, s)
-    g["h"] = np.concatenate([before.reshape(-1, s).T @ rows[:, : 2 * s], reset.T @ rows[:, 2 * s :]], 1)
+    g["h"] = np.concatenate([before.reshape(-1, s).T @ rows[:, : 2 * s], reset.reshape(-1, s).T @ rows[:, 2 * s :]], 1)
     order = np.argsort(ids.ravel(), kind="stable")
     kinds, first = np.unique(ids.ravel()[order], return_index=True)
     g["x"] = np.zeros_like(p["x"])
