@@ -67,7 +67,19 @@ class Shard:
         mean = x.mean(0)
         self.medoids = np.unique(np.concatenate([[int((x @ mean).argmax())], np.linspace(0, len(x) - 1, min(len(x), 8)).astype(int)]))
         self.seen = np.zeros(len(x), np.int64)
-        self.tick = 0
+        self.tick = 1
+        # every row can be reached from an entry row, however the graph falls apart
+        entries, at = [self.medoids], self.medoids
+        self.seen[at] = self.tick
+        while True:
+            while len(at):
+                at = self._fresh(at)
+            at = np.nonzero(self.seen != self.tick)[0][:1]
+            if not len(at):
+                break
+            self.seen[at] = self.tick
+            entries.append(at)
+        self.medoids = np.concatenate(entries)
 
     def _fresh(self, at: np.ndarray) -> np.ndarray:
         nb = np.unique(self.adj[at].ravel())
@@ -76,12 +88,16 @@ class Shard:
         self.seen[nb] = self.tick
         return nb
 
-    def search(self, q: np.ndarray, least: float, beam: int, slack: float = 0.04) -> np.ndarray:
+    def exact(self, q: np.ndarray, least: float, rows: int = 64) -> list[np.ndarray]:
+        """By brute force, for each row of q: rows with a dot product of least or more."""
+        return [np.nonzero(s >= least)[0] for a in range(0, len(q), rows) for s in q[a : a + rows] @ self.x.T]
+
+    def search(self, q: np.ndarray, least: float, beam: int, slack: float = 0.04, own: int | None = None) -> np.ndarray:
         """Rows with a dot product of least or more: a greedy beam search from
-        the medoids, then the range grows from what it has found (down to slack
-        below least) until no new row comes up."""
+        the entry rows and the query's own row, then the range grows from what it
+        has found (down to slack below least) until no new row comes up."""
         self.tick += 1
-        at = self.medoids
+        at = self.medoids if own is None else np.union1d(self.medoids, [own])
         self.seen[at] = self.tick
         sims = self.x[at] @ q
         found, scores = [at], [sims]
@@ -207,8 +223,8 @@ def link_vectors(
     (overlapping: a vector is in its two nearest), adjacency lists are united over
     shards, and blocks of at most `block` queries search each shard they visit. A
     block is audited: `audit` of its queries are also answered by brute force, and
-    while fewer than 97 of 100 of those links were found the block is searched
-    again with twice the beam. Links are counted and joined inside a block, and only
+    where one of them found fewer than 97 of 100 of its links the whole block is
+    answered by brute force inside the cell. Links are counted and joined inside a block, and only
     counts and spanning edges leave it, so a large group of near-equal vectors
     moves rows in proportion to its members.
 
@@ -245,16 +261,11 @@ def link_vectors(
             graph = Shard(_matrix(n["x"]), [np.array([place[r] for r in a if r in place], np.int64) for a in n["near"]], n["home"].to_numpy())
             weight, own, names = n["weight"].to_numpy(), graph.own, n["id"].to_numpy()
             qx, qid, qname = _matrix(q["x"]), q["rep"].to_numpy(), q["id"].to_numpy()
-            beam = BEAM
-            while True:
-                hits = [graph.search(v, least, beam) for v in qx]
-                checked = range(0, len(qx), max(1, len(qx) // audit))
-                want = [np.nonzero(graph.x @ qx[i] >= least)[0] for i in checked]
-                true = sum(map(len, want))
-                got = sum(len(np.intersect1d(hits[i], w)) for i, w in zip(checked, want, strict=True))
-                if 100 * got >= 97 * true or beam >= len(ids):
-                    break
-                beam *= 2
+            hits = [graph.search(v, least, BEAM, own=place.get(r)) for v, r in zip(qx, qid, strict=True)]
+            checked = np.arange(0, len(qx), max(1, len(qx) // audit))
+            want = graph.exact(qx[checked], least)
+            if any(100 * len(np.intersect1d(hits[i], w)) < 97 * len(w) for i, w in zip(checked, want, strict=True)):
+                hits = graph.exact(qx, least)
             parent = np.arange(len(ids) + len(qid))
             for i, h in enumerate(hits):
                 h = h[own[h] & (ids[h] != qid[i])]

@@ -76,3 +76,21 @@ def test_graph_reaches_everything():
         found += len(np.intersect1d(graph.search(q, 0.7, vectors.BEAM), want))
         total += len(want)
     assert found >= 0.95 * total
+
+
+def test_groups_of_near_copies(spark):
+    """Groups larger than a row's pool of nearest rows: no edge leaves a group."""
+    rng = np.random.default_rng(7)
+    centers = rng.standard_normal((20, 24))
+    x = np.concatenate([c / np.linalg.norm(c) + 0.002 * rng.standard_normal((100 + g, 24)) for g, c in enumerate(centers)])
+    group = np.repeat(np.arange(20), np.arange(100, 120))
+    order = rng.permutation(len(x))
+    x, group = x[order], group[order]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.98).sum(1) - 1
+    assert (want >= 99).all()
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.link_vectors(df).collect()}
+    assert [got[i].n_links for i in range(len(x))] == want.tolist()
+    first = {g: int(np.nonzero(group == g)[0][0]) for g in range(20)}
+    assert [got[i].component_id for i in range(len(x))] == [first[g] for g in group]
