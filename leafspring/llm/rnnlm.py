@@ -256,8 +256,10 @@ def train_local(p: dict, runs: list[np.ndarray], *, lanes: int = 64, least_steps
                 goal[: len(r), j], mask[: len(r), j] = r, 1
             ids = np.concatenate([np.full((1, len(group)), INPUTS - 1, np.int32), goal[:-1]])
             h = np.zeros((len(group), STATE), np.float32)
+            lens = np.array([len(r) for r in group])
             for a in range(0, n, STEPS):
-                g, h = gradients(p, ids[a : a + STEPS], goal[a : a + STEPS], mask[a : a + STEPS], h)
+                live = int((lens > a).sum())  # runs that have ended leave the group
+                g, h = gradients(p, ids[a : a + STEPS, :live], goal[a : a + STEPS, :live], mask[a : a + STEPS, :live], h[:live])
                 opt.step(p, g, 1 - 0.9 * done / (laps * windows))
                 done += 1
     return p
@@ -375,28 +377,24 @@ def vocabulary(counts: DataFrame, known_types: int = 100_000, longest: int = 40)
     return Vocabulary(head, known, total[0] or 0, total[1], n, t)
 
 
-def train(rows: DataFrame, vocab: Vocabulary, *, share: int = 8, rounds: int = 2, **options) -> dict:
-    """Every training document takes part with a run of 1/share of its tokens
-    (64 at least), at a place that its hash chooses, in another place each round.
+def train(rows: DataFrame, vocab: Vocabulary, *, rounds: int = 2, **options) -> dict:
+    """Every training document takes part with all of its tokens, in each round.
     Each task fits a model on its runs, from the common one; the models' mean,
     weighted by tokens, is the next common one. Sums are built in a tree, so that
     few blocks of parameters (0.4 MB each) reach the driver at any size."""
     spark = rows.sparkSession
     params = initial(vocab)
     shared_vocab = spark.sparkContext.broadcast(vocab)
-    for k in range(rounds):
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast(params)
 
-        def run(batches, shared=shared, k=k):
+        def run(batches, shared=shared):
             index, runs = _Tokens(shared_vocab.value), []
             for b in batches:
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                     if held_out(doc):
                         continue
-                    tokens = tokens_of(text.as_py())
-                    n = min(len(tokens), max(64, len(tokens) // share))
-                    at = zlib.crc32(f"{doc} {k}".encode()) % (len(tokens) - n + 1)
-                    runs.append(index(tokens[at : at + n])[1])
+                    runs.append(index(tokens_of(text.as_py()))[1])
             weight = float(sum(map(len, runs)))
             if weight:
                 made = pack(train_local(shared.value, runs, **options)).astype(np.float64) * weight
@@ -427,7 +425,7 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     its end counted as a token).
 
     Learns from the documents that are not held out: counts from all of their
-    tokens, the network as train() says. Null texts are empty (the end alone);
+    tokens, the network from all of them too. Null texts are empty (the end alone);
     a null id is a training document; repeated rows repeat; without training
     tokens every score is that of the half counts. Other columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -298,6 +298,21 @@ def test_language_model_gradients_and_states():
     assert np.exp(rnnlm.token_logs(p32, state, every)).sum() == pytest.approx(1, rel=1e-4)
 
 
+def test_language_model_learns_from_whole_documents(spark):
+    words = [b"w%d" % i for i in range(200)]
+    vocab = rnnlm.Vocabulary(words, {w: 300 - i for i, w in enumerate(words)}, 10**5, 900, np.full(rnnlm.TAIL_CLASSES, 50.0), np.full(rnnlm.TAIL_CLASSES, 9.0))
+    rng = np.random.default_rng(4)
+    docs = [(i, b" ".join(rng.choice(words, n)).decode()) for i, n in enumerate((900, 700, 40, 1500, 300, 5, 1100))]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    index = rnnlm._Tokens(vocab)
+    runs = [index(rnnlm.tokens_of(t))[1] for i, t in docs if not rnnlm.held_out(i)]
+    assert sum(map(len, runs)) > 2000
+    want = rnnlm.train_local(rnnlm.initial(vocab), runs, least_steps=1)
+    got = rnnlm.train(rows, vocab, rounds=1, least_steps=1)
+    for k in want:
+        assert got[k] == pytest.approx(want[k], abs=1e-3)
+
+
 def test_language_model_odd_rows(odd, none):
     rows = rnnlm.score_documents(odd).collect()
     assert len(rows) == odd.count()
