@@ -172,12 +172,16 @@ def bilingual_html(units: DataFrame) -> DataFrame:
     return d.select("doc_id", "block_id", html.alias("html"))
 
 
-def page_markdown(units: DataFrame, first: int, last: int) -> DataFrame:
-    """A page's tagged lines; pages of the range without units are empty."""
+def page_markdown(units: DataFrame, first: int, last: int | DataFrame) -> DataFrame:
+    """A page's tagged lines; pages of the range without units are empty. last is
+    a page, or (doc_id, last) with the last page of each document."""
     line = F.concat(F.lit("["), F.col("tag"), F.lit("] "), F.col("en_text"))
     pages = units.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "pos", line.alias("l")))), lambda s: s["l"]), "\n").alias("body"))
-    every = units.select("doc_id").distinct().select("doc_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("page"))
-    return every.join(pages, ["doc_id", "page"], "left").withColumn("body", F.coalesce("body", F.lit("")))
+    docs = last if isinstance(last, DataFrame) else units.select("doc_id", F.lit(last).alias("last")).distinct()
+    # by document alone, so that texts dealt by document stay where they are
+    bodies = pages.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page", "body"))).alias("bodies"))
+    page = lambda p: F.struct(p.alias("page"), F.coalesce(F.try_element_at("bodies", p), F.lit("")).alias("body"))
+    return docs.where(F.col("last") >= first).join(bodies, "doc_id", "left").select("doc_id", F.inline(F.transform(F.sequence(F.lit(first), F.col("last")), page)))
 
 
 def parse_tagged(lines: DataFrame) -> DataFrame:

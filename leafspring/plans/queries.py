@@ -22,8 +22,20 @@ def items(spark, sf_dir):
     return d.select("doc_id", "ord", kind.alias("type"), F.expr("cast(ord div 5 as int)").alias("page_idx"), "text", level.alias("text_level"))
 
 
+def units_of(items):
+    return D.exclude_references(D.sentence_units(D.label_items(items)))
+
+
 def units(spark, sf_dir):
-    return D.exclude_references(D.sentence_units(D.label_items(items(spark, sf_dir))))
+    return units_of(items(spark, sf_dir))
+
+
+def all_pages(spark, sf_dir):
+    """Every document's pages, from the first to its own last. Texts are dealt by
+    document once, before all windows."""
+    d = items(spark, sf_dir)
+    last = d.groupBy("doc_id").agg((F.max("page_idx") + 1).alias("last"))
+    return D.page_markdown(units_of(d.repartition("doc_id")), 1, last)
 
 
 LINE = "concat('We set t = ', l_linenumber, ' with scale γβ. See Fig. ', l_linenumber, ' for $K$ > ', cast(l_quantity as int), ' and P($A$, $B$) = x. Table ', l_linenumber, ': Ω rows by J. Doe.')"
@@ -80,9 +92,9 @@ QUERIES = {
     "translate": lambda s, d: D.merge_math(D.translate(units(s, d))).select("doc_id", "ord", "pos", "tag", "en_text", "ja_text"),
     "paragraph_blocks": lambda s, d: D.paragraph_blocks(units(s, d)).select("doc_id", "ord", "pos", "tag", "block_id"),
     "block_html": lambda s, d: D.block_html(units(s, d)),
-    "page_markdown": lambda s, d: D.page_markdown(units(s, d), 1, 3),
+    "page_markdown": all_pages,
     "bilingual_html": lambda s, d: D.bilingual_html(D.translate(units(s, d))),
-    "parse_tagged": lambda s, d: D.parse_tagged(D.page_markdown(units(s, d), 1, 9).select(F.col("doc_id").alias("f"), F.col("page").alias("p"), F.posexplode(F.split("body", "\n")).alias("n", "line")).select(F.col("f").alias("doc_id"), (F.col("p") * 1_000_000 + F.col("n")).alias("ord"), "line")),
+    "parse_tagged": lambda s, d: D.parse_tagged(all_pages(s, d).select(F.col("doc_id").alias("f"), F.col("page").alias("p"), F.posexplode(F.split("body", "\n")).alias("n", "line")).select(F.col("f").alias("doc_id"), (F.col("p").cast("long") * 1_000_000 + F.col("n")).alias("ord"), "line")),
     "wrap_letter_equals": per_line("out", T.wrap_letter_equals),
     "wrap_greek": per_line("out", T.wrap_greek),
     "protect_math": per_line("out", T.protect),
