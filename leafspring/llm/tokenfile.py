@@ -23,15 +23,16 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import fresh_path, stored
+from .common import byte_alphabet, fresh_path, stored, text_batches
 
 FOOTER = struct.Struct("<QQQQQQII")
 MAGIC = 0x31545353
@@ -89,7 +90,7 @@ class ShardWriter:
         else:
             self.first = key
         self.block += _varint(shared) + _varint(len(key) - shared) + key[shared:] + _varint(len(ids))
-        self.block += ids.astype(f"<u{self.width}").tobytes()
+        self.block += ids.astype(f"<u{self.width}", copy=False).tobytes()
         self.last = key
         self.keys.append(key)
         self.ids += len(ids)
@@ -170,9 +171,14 @@ class CachedEncoder:
     """Ids of texts under a BPE file of the tokenizers library that drops white
     space and whose normaliser works character by character. Such a file encodes
     what stands between blanks on its own, and in it each piece of its split
-    pattern, so the library is asked once for a piece; ids of pieces and of
-    stretches between blanks are kept, about most of either. Files of any other
-    make-up are passed to the library text by text."""
+    pattern, so the library's model is asked once for a piece, and a batch of
+    texts is a gather: Arrow numbers the stretches between blanks, each has its
+    place in one flat array of ids. That array, the stretches and the pieces kept
+    are bounded in number and in length (longer ones are looked up afresh). Files
+    of any other make-up are passed to the library text by text; the tests hold
+    the two ways equal on long texts of mixed scripts."""
+
+    LONGEST = 48  # characters of a stretch or piece that is kept
 
     def __init__(self, path: str, most: int = 600_000):
         import json
@@ -184,6 +190,8 @@ class CachedEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.most, self.known, self.pieces = most, {}, {}
+        # ids of all stretches end to end; stretch k's are flat[at[k] : at[k] + size[k]]
+        self.flat, self.at, self.size, self.used = np.zeros(1 << 16, "<u4"), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
         spec = json.loads(open(path, encoding="utf-8").read())
         self.width = 2 if max(spec["model"]["vocab"].values()) < 65536 else 4
         steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -196,41 +204,80 @@ class CachedEncoder:
             import regex
 
             self.cut = regex.compile(pre[0]["pattern"]["Regex"]).findall
-
-    def _pieces(self, stretch: bytes) -> list[str]:
-        text = stretch.decode()
+            self.model, self.alphabet = self.tok.model, {b: c for c, b in byte_alphabet().items()}
+
+    def _of_piece(self, piece: str) -> bytes:
+        """A normalised piece, written in the file's alphabet of bytes, by the
+        library's model."""
+        found = self.pieces.get(piece)
+        if found is None:
+            written = piece.encode().decode("latin-1").translate(self.alphabet)
+            found = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+            if len(self.pieces) < self.most and len(piece) <= self.LONGEST:
+                self.pieces[piece] = found
+        return found
+
+    def _of_stretch(self, text: str) -> bytes:
         if text.isascii():
-            return self.cut(text.lower())
-        if _UNSETTLED.search(text):
-            return [text]
-        # the library lower-cases character by character: no final sigma
-        return self.cut(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
-
-    def batch(self, texts: list[str]) -> list[np.ndarray]:
+            cut = self.cut(text.lower())
+        elif _UNSETTLED.search(text):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        else:  # the library lower-cases character by character: no final sigma
+            cut = self.cut(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+        return self._of_piece(cut[0]) if len(cut) == 1 else b"".join(map(self._of_piece, cut))
+
+    def _numbers(self, stretches: list[str]) -> np.ndarray:
+        """The place of each (distinct) stretch in at and size. Those that aren't
+        kept stand behind the kept ones, until the next call."""
+        known = self.known
+        codes = np.fromiter(map(known.get, stretches, repeat(-1)), np.int64, len(stretches))
+        new = np.flatnonzero(codes < 0)
+        made = [self._of_stretch(stretches[i]) for i in new.tolist()]
+        fits = [len(stretches[i]) <= self.LONGEST for i in new.tolist()]
+        order = np.argsort(~np.array(fits, bool), kind="stable")  # those to keep first
+        room = max(0, self.most - len(known))
+        keep = min(room, sum(fits))
+        first = len(known)
+        codes[new[order]] = np.arange(first, first + len(new))
+        known.update(zip([stretches[i] for i in new[order[:keep]].tolist()], range(first, first + keep), strict=True))
+        sizes = np.array([len(made[i]) >> 2 for i in order.tolist()], np.int64)
+        ids = np.frombuffer(b"".join([made[i] for i in order.tolist()]), "<u4")
+        self.at, self.size = _room(self.at, first, len(new)), _room(self.size, first, len(new))
+        self.flat = _room(self.flat, self.used, len(ids))
+        self.size[first : first + len(new)] = sizes
+        self.at[first : first + len(new)] = self.used + sizes.cumsum() - sizes
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += int(sizes[:keep].sum())
+        return codes
+
+    def column(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of an Arrow column, end to end; n + 1 bounds). Null
+        texts are empty."""
+        texts = texts.fill_null("")
         if not self.apart:
-            return [np.array(e.ids, "<u4") for e in self.tok.encode_batch(texts, add_special_tokens=False)]
-        parts, known = [t.encode().split() for t in texts], self.known
-        new = set(chain.from_iterable(parts)).difference(known)
-        cut = {k: self._pieces(k) for k in new}
-        have = self.pieces
-        miss = set(chain.from_iterable(cut.values())).difference(have)
-        some = list(miss)
-        for at in range(0, len(some), 10_000):
-            keys = some[at : at + 10_000]
-            for k, e in zip(keys, self.tok.encode_batch_fast(keys, add_special_tokens=False), strict=True):
-                have[k] = np.array(e.ids, "<u4").tobytes()
-        for k, p in cut.items():
-            known[k] = have[p[0]] if len(p) == 1 else b"".join(map(have.__getitem__, p))
-        get = known.__getitem__
-        out = [np.frombuffer(b"".join(map(get, p)), "<u4") for p in parts]
-        for held, fresh in ((known, new), (have, miss)):
-            if len(held) > self.most:  # full: what came first, which is the most frequent, stays
-                for k in fresh:
-                    del held[k]
-        return out
+            parts = [np.array(e.ids, "<u4") for e in self.tok.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *parts]), np.cumsum([0, *map(len, parts)])
+        lists = pc.ascii_split_whitespace(texts)
+        offsets = lists.offsets.to_numpy()
+        words = lists.flatten().dictionary_encode()
+        words = words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words
+        codes = self._numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()]
+        sizes = self.size[codes]
+        ends = np.concatenate([[0], sizes.cumsum()])
+        place = np.repeat(self.at[codes] - ends[:-1], sizes)
+        place += np.arange(len(place))
+        return self.flat[place], ends[offsets - offsets[0]]
 
     def __call__(self, text: str) -> np.ndarray:
-        return self.batch([text])[0]
+        return self.column(pa.array([text], pa.string()))[0]
+
+
+def _room(x: np.ndarray, used: int, more: int) -> np.ndarray:
+    if used + more <= len(x):
+        return x
+    out = np.zeros(max(2 * len(x), used + more), x.dtype)
+    out[:used] = x[:used]
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -249,7 +296,9 @@ def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id: int =
     One range shuffle of the texts. A task writes under names of its own and
     only the manifest of the attempt that counts names them, so a lost or
     repeated task leaves no wrong shard in the table. Null texts are empty; rows
-    with a null id come first; repeated ids are entries of their own (by text)."""
+    with a null id come first; repeated ids are entries of their own (ordered by a
+    hash of the text); an empty table gives no shard; very long texts are whole
+    entries (a block holds at least one); other columns are not read."""
     from pyarrow import fs
 
     def run(batches):
@@ -264,17 +313,17 @@ def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id: int =
             stream.close()
             done.append((part, len(done), path, len(writer.keys), writer.ids))
 
-        end = np.array([end_id], "<u4")
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part_rows = b.slice(at, 256)
-                made = enc.batch([t or "" for t in part_rows.column(1).to_pylist()])
-                for doc, ids in zip(part_rows.column(0).to_pylist(), made, strict=True):
+            for part_rows in text_batches(b, 1, 4 << 20):
+                ids, bounds = enc.column(part_rows.column(1))
+                ids = np.insert(ids, bounds[1:], end_id).astype(f"<u{enc.width}")
+                bounds = (bounds + np.arange(len(bounds))).tolist()
+                for i, doc in enumerate(part_rows.column(0).to_pylist()):
                     if writer is None:
                         path = f"{base}/{part:06d}-{len(done):04d}-{uuid.uuid4().hex}.sst"
                         stream = where.open_output_stream(path)
                         writer = ShardWriter(stream, enc.width)
-                    writer.add(doc, np.concatenate([ids, end]))
+                    writer.add(doc, ids[bounds[i] : bounds[i + 1]])
                     if writer.at >= shard_bytes:
                         close()
                         writer = None
@@ -285,7 +334,9 @@ def write_shards(docs: DataFrame, tokenizer: str, out_dir: str, *, end_id: int =
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["part", "seq", "path", "documents", "ids"])
 
     rows = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text")
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # a null or repeated id with many texts spreads over tasks
+    own = F.xxhash64("text")
+    ordered = rows.repartitionByRange("doc_id", own).sortWithinPartitions("doc_id", own, "text")
     return stored(ordered.mapInArrow(run, MANIFEST), "manifest")
 
 
