@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
 
 import numpy as np
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import byte_alphabet
+
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, padded_length int, step_group long"
@@ -19,14 +21,6 @@ SCHEMA = (
 TIERS = (128, 256, 512, 1024)
 
 
-def _byte_alphabet() -> dict[str, int]:
-    """The characters that byte-level vocabularies write for bytes: printable
-    Latin-1 stands for itself, the other bytes follow from U+0100 on."""
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 @lru_cache(maxsize=2)
 def byte_level_encoder(path: str):
     """texts -> lists of ids for a byte-level BPE file of the tokenizers
@@ -39,7 +33,7 @@ def byte_level_encoder(path: str):
     from tokenizers import Tokenizer
 
     spec = json.loads(open(path, encoding="utf-8").read())
-    vocab, alphabet = spec["model"]["vocab"], _byte_alphabet()
+    vocab, alphabet = spec["model"]["vocab"], byte_alphabet()
     special = {t["content"] for t in spec["added_tokens"]}
     pre = spec["pre_tokenizer"] or {}
     merges = [m if isinstance(m, str) else " ".join(m) for m in spec["model"]["merges"]]
@@ -63,20 +57,26 @@ def byte_level_encoder(path: str):
 
 class Packer:
     """Packs the pieces of one task. Whole windows of a long document are
-    sequences at once. What is left of each document goes to the tier of its
-    length; on flush() the longest tier opens windows, each gap takes the
-    longest remaining piece that fits (so gaps fill from ever shorter tiers),
-    and a gap of at least cut tokens that no piece fits takes the head of a
-    longer one, whose tail goes back to its tier. The rest that fills no window
-    is cut into sequences of powers of two. Sequences are then dealt to step
-    groups so that their attention costs (sum of squared piece lengths)
-    balance."""
-
-    def __init__(self, task: int, tiers=TIERS, step: int = 8, cut: int = 1):
-        self.tiers, self.window, self.step, self.cut = sorted(tiers), max(tiers), step, cut
+    sequences at once. What is left of each document is routed to the tier of its
+    length, the shortest context that holds it. flush() packs each tier to
+    sequences of its own context size, the longest tier first: a window opens with
+    the longest piece of its tier, and its gap takes the longest piece that fits
+    from the tier of the gap or, if that has none, from ever shorter ones. A gap
+    that no piece fits takes the head of a longer one; the tail is routed anew by
+    its own length. So long windows use up short pieces only in gaps, and short
+    documents left over make full short sequences. What at last fills no window
+    is cut into sequences of powers of two.
+
+    Sequences of a tier are then dealt to step groups of about step * the longest
+    context tokens, so that attention costs (sum of squared piece lengths)
+    balance between the groups of a tier; a group has one context size."""
+
+    def __init__(self, task: int, tiers=TIERS, step: int = 8):
+        self.tiers, self.window, self.step = sorted(tiers), max(tiers), step
         self.next_seq = self.next_group = task << 32
         self.full: list[list] = []
-        self.pool: list[tuple[int, int]] = []  # (length, slot), sorted on flush
+        self.waiting: list[tuple[int, int]] = []  # (length, slot)
+        self.pools: dict[int, list[tuple[int, int]]] = {}  # the same by tier, sorted; filled on flush
         self.slots: list[tuple] = []
         self.held = 0
 
@@ -85,24 +85,34 @@ class Packer:
         for at in range(0, n - n % w, w):
             self.full.append([(doc_id, at, w, zlib.crc32(ids[at : at + w].tobytes()), n)])
         if n % w:
-            self.pool.append((n % w, len(self.slots)))
+            self.waiting.append((n % w, len(self.slots)))
             self.slots.append((doc_id, n - n % w, ids[n - n % w :].copy(), n))
             self.held += n % w
 
     def tier_of(self, n: int) -> int:
-        return self.tiers[min(int(np.searchsorted(self.tiers, n)), len(self.tiers) - 1)]
+        return self.tiers[bisect_left(self.tiers, n)]
 
-    def _take(self, i: int, most: int) -> tuple:
-        n, slot = self.pool.pop(i)
+    def _take(self, tier: int, i: int, most: int) -> tuple:
+        n, slot = self.pools[tier].pop(i)
         doc, at, ids, total = self.slots[slot]
         if n > most:
             self.slots.append((doc, at + most, ids[most:], total))
-            insort(self.pool, (n - most, len(self.slots) - 1))
+            insort(self.pools[self.tier_of(n - most)], (n - most, len(self.slots) - 1))
         return doc, at, ids[:most], total
 
+    def _fill(self, gap: int) -> tuple | None:
+        """A piece for a gap: whole, of the longest tier that has one, else cut."""
+        for tier in reversed(self.tiers[: bisect_left(self.tiers, gap) + 1]):
+            i = bisect_right(self.pools[tier], (gap, len(self.slots))) - 1
+            if i >= 0:
+                return self._take(tier, i, gap)
+        for tier in self.tiers:
+            if self.pools[tier]:
+                return self._take(tier, 0, gap)
+        return None
+
     def _rest(self, pieces: list) -> list[list]:
         """pieces, too few for a window, as sequences of powers of two."""
-        self.slots = [(doc, at, ids, total) for doc, at, ids, total in pieces]
         out, left = [], sum(len(p[2]) for p in pieces)
         queue = list(reversed(pieces))
         while left:
@@ -117,34 +127,45 @@ class Packer:
                 want -= min(want, len(ids))
         return out
 
+    def _pack(self) -> dict[int, list[list]]:
+        """Sequences of each tier, of all pieces that wait."""
+        self.pools = {t: [] for t in self.tiers}
+        for n, slot in sorted(self.waiting):
+            self.pools[self.tier_of(n)].append((n, slot))
+        made: dict[int, list[list]] = {t: [] for t in self.tiers}
+        for tier in reversed(self.tiers):
+            while self.pools[tier]:
+                seq, gap = [], tier
+                while gap:
+                    piece = self._fill(gap) if seq else self._take(tier, len(self.pools[tier]) - 1, tier)
+                    if piece is None:
+                        break
+                    seq.append(piece)
+                    gap -= len(piece[2])
+                if gap:  # nothing is left in any tier
+                    for part in self._rest(seq):
+                        made[self.tier_of(sum(len(p[2]) for p in part))].append(part)
+                else:
+                    made[tier].append(seq)
+        return made
+
     def flush(self):
         """Rows of SCHEMA for everything added since the last flush."""
-        self.pool.sort()
-        made = []
-        while self.pool:
-            seq = [self._take(len(self.pool) - 1, self.window)]
-            gap = self.window - len(seq[0][2])
-            while gap and self.pool:
-                i = bisect_right(self.pool, (gap, len(self.slots))) - 1
-                if i < 0 and gap < self.cut:
-                    break
-                seq.append(self._take(max(i, 0), gap))
-                gap -= len(seq[-1][2])
-            made += [seq] if gap < self.cut or self.pool else self._rest(seq)
-        sequences = self.full + [[(d, at, len(x), zlib.crc32(x.tobytes()), n) for d, at, x, n in s] for s in made]
-        self.full, self.pool, self.slots, self.held = [], [], [], 0
-        sequences.sort(key=lambda s: -sum(p[2] ** 2 for p in s))
-        groups = max(1, -(-len(sequences) // self.step))
-        for k, seq in enumerate(sequences):
-            lap, i = divmod(k, groups)
-            group = self.next_group + (i if lap % 2 == 0 else groups - 1 - i)
-            used, at = sum(p[2] for p in seq), 0
-            padded = min(self.window, 1 << (used - 1).bit_length())
-            for doc, start, n, crc, total in seq:
-                yield doc, start, n, crc, total, self.next_seq, at, self.tier_of(n), padded, group
-                at += n
-            self.next_seq += 1
-        self.next_group += groups
+        sequences = {t: [[(d, at, len(x), zlib.crc32(x.tobytes()), n) for d, at, x, n in s] for s in made] for t, made in self._pack().items()}
+        sequences[self.window] += self.full
+        self.full, self.waiting, self.pools, self.slots, self.held = [], [], {}, [], 0
+        for tier, own in sequences.items():
+            own.sort(key=lambda s: -sum(p[2] ** 2 for p in s))
+            groups = -(-len(own) * tier // (self.step * self.window))
+            for k, seq in enumerate(own):
+                lap, i = divmod(k, groups)
+                group = self.next_group + (i if lap % 2 == 0 else groups - 1 - i)
+                used, at = sum(p[2] for p in seq), 0
+                for doc, start, n, crc, total in seq:
+                    yield doc, start, n, crc, total, self.next_seq, at, tier, used, group
+                    at += n
+                self.next_seq += 1
+            self.next_group += groups
 
 
 def pack_documents(
@@ -157,9 +178,9 @@ def pack_documents(
     most pool_tokens ids (pieces shorter than a window) plus one batch of texts,
     so a source with a third of all rows is as cheap as any other. sequence_id is
     unique over the result; its high bits are the task's number. Every id lies
-    in exactly one piece. A sequence's offset runs without gaps from 0 and its
-    padded_length is the largest tier or, for the rest of a pool, a power of two,
-    which it fills.
+    in exactly one piece. A sequence's offset runs without gaps from 0. tier is the
+    context size it was packed for, padded_length what it fills: the tier, or, for
+    the rest of a pool, a power of two. There is no padding.
 
     Null text is an empty text (one piece: the end id alone); a null id stays
     null and is packed as any other; repeated rows are packed as often as they
