@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, functions as F
 
 # Elements by their part in a page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style title textarea noscript template iframe svg math xmp noembed noframes".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q s samp small span strike strong sub sup time tt u var img wbr nobr ruby rt rp".split())
+RAW = set("script style title textarea template iframe noembed noframes".split())
+TO_THE_END = set("script style title textarea".split())  # without an end tag the rest of the page is theirs
+HEAD_ONLY = set("base basefont bgsound link meta script style template title".split())
+FOREIGN = set("svg math".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins del kbd label mark q s samp small span strike strong sub sup time tt u var img wbr nobr ruby rt rp svg math".split())
 CLOSES_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SCOPE = set("html body table td th caption button object".split())
 TAG_GROUPS = (
@@ -49,7 +52,7 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.groups = ["html"], [-1], [set()]
         self.link, self.runs = [], []
-        self.stack = [("html", 0)]
+        self.stack = [("html", 0, False)]  # tag, node, inline
         self._parse(source)
 
     def _open(self, tag: str, attrs: str) -> None:
@@ -68,7 +71,7 @@ class Page:
         elif tag == "body":
             self._close("head", {"html"})
         at = self.stack[-1][1]
-        inline = tag in INLINE
+        inline = tag in INLINE or self._foreign()
         if not inline:
             self.runs.append((at, None, False))
         if tag in VOID:
@@ -80,44 +83,77 @@ class Page:
         if not inline or found:
             self.tag.append(tag), self.parent.append(at), self.groups.append(found)
             at = len(self.tag) - 1
-        self.stack.append((tag, at))
+        self.stack.append((tag, at, inline))
 
     def _close(self, tag: str, stop=frozenset(("html",))) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
             name = self.stack[i][0]
             if name == tag:
-                if any(t not in INLINE for t, _ in self.stack[i:]):
+                if not all(inline for _, _, inline in self.stack[i:]):
                     self.runs.append((self.stack[i][1], None, False))
                 del self.stack[i:]
                 return
             if name in stop:
                 return
 
+    def _foreign(self) -> bool:
+        return any(t in FOREIGN for t, _, _ in self.stack)
+
+    def _in_body(self) -> None:
+        """The ends of the head and the start of the body, where left out."""
+        if self.stack[-1][0] == "head" or len(self.stack) == 1:
+            self._open("body", "")
+
+    def _text(self, text: str) -> None:
+        self.runs.append((self.stack[-1][1], text, any(t == "a" for t, _, _ in self.stack)))
+
     def _parse(self, source: str) -> None:
-        at, lower, head = 0, None, 0
+        """Tags may be left out as HTML allows (head, body, p, li, ...); an end tag
+        of the body or the page changes nothing. Text of script, style, title and
+        textarea is no text, and goes on to the end of the page without an end
+        tag; template and iframe without one are passed over alone."""
+        at, lower = 0, None
         while True:
             m = _PIECE.search(source, at)
             text = source[at : m.start() if m else len(source)]
-            if text and not any(t == "head" for t, _ in self.stack[1:3]):
-                linked = any(t == "a" for t, _ in self.stack)
-                self.runs.append((self.stack[-1][1], html_lib.unescape(text), linked))
+            if text and text.strip():
+                self._in_body()
+            if text and self.stack[-1][0] != "head":
+                self._text(html_lib.unescape(text))
             if not m:
                 return
             at = m.end()
             if m[2] is None:
                 continue
             tag = m[2].lower()
+            in_head = self.stack[-1][0] == "head"
             if m[1]:
-                self._close(tag)
-            elif tag in RAW:
-                if lower is None:
-                    lower = source.lower()
+                if tag not in ("body", "html"):
+                    self._close(tag)
+            elif tag in RAW or tag == "xmp" or tag == "noscript" and in_head:
+                lower = lower or source.lower()
                 end = lower.find(f"</{tag}", at)
-                if end < 0:
+                if tag == "xmp":  # shown as it is written
+                    self._in_body()
+                    self._open("pre", m[3])
+                    self._text(source[at : end if end >= 0 else len(source)])
+                    self._close("pre")
+                if end >= 0:
+                    at = source.find(">", end) + 1 or len(source)
+                elif tag in TO_THE_END or tag == "xmp":
                     return
-                at = source.find(">", end) + 1 or len(source)
-            elif tag not in ("html", "head") or tag == "head" and len(self.stack) == 1:
+            elif tag == "head":
+                if len(self.stack) == 1 and "body" not in self.tag:
+                    self._open(tag, m[3])
+            elif tag == "body":
+                if "body" not in self.tag:
+                    self._open(tag, m[3])
+            elif tag != "html":
+                if tag not in HEAD_ONLY:
+                    self._in_body()
                 self._open(tag, m[3])
+                if m[3].endswith("/") and tag not in VOID and self._foreign():
+                    self._close(tag)
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
@@ -169,10 +205,11 @@ class Page:
         cols += [(ups >> (16 + g) & 1).astype(float) for g in (0, 6, 7, 8, 9, 10)]
         return np.stack(cols, 1)
 
-    def decode(self, logp: np.ndarray, change: float = 2.0) -> np.ndarray:
+    def decode(self, logp: np.ndarray, change: float = 2.0, doubt: float = 6.0) -> np.ndarray:
         """The labelling of greatest total log-probability in which every path
         from the root is PASS*, then MAIN*, then OUT* (either part may be
-        missing); leaving MAIN costs change."""
+        missing); leaving MAIN costs change. A labelling without MAIN gives way to
+        the best one with it, if that costs at most doubt."""
         n = len(self.tag)
         best = logp.copy()
         best[0] = (0.0, -30.0, -30.0)
@@ -191,6 +228,18 @@ class Page:
         label = np.zeros(n, np.int8)
         for i in range(1, n):
             label[i] = picks[i][label[self.parent[i]]]
+        if n > 1 and not (label == MAIN).any():
+            top = [max(r) for r in rows]
+            loss = [0.0] * n  # of PASS from the root down to a node
+            for i in range(1, n):
+                loss[i] = loss[self.parent[i]] + top[i] - rows[i][PASS]
+            least, first = min((loss[self.parent[i]] + top[i] - rows[i][MAIN], i) for i in range(1, n))
+            if least <= doubt:
+                forced, i = {first: MAIN}, self.parent[first]
+                while i > 0:
+                    forced[i], i = PASS, self.parent[i]
+                for i in range(1, n):
+                    label[i] = forced.get(i, picks[i][label[self.parent[i]]])
         return label
 
     def text(self, label: np.ndarray) -> str:
@@ -203,7 +252,7 @@ class Boosted:
     Every tree is a complete binary tree: feature and cut of inner node k are at
     k, its children at 2k + 1 and 2k + 2."""
 
-    def __init__(self, classes: int = 3, rounds: int = 30, depth: int = 4, rate: float = 0.3, bins: int = 32):
+    def __init__(self, classes: int = 3, rounds: int = 50, depth: int = 4, rate: float = 0.3, bins: int = 32):
         self.classes, self.rounds, self.depth, self.rate, self.bins = classes, rounds, depth, rate, bins
 
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> Boosted:
@@ -212,6 +261,8 @@ class Boosted:
         code = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
         score = np.zeros((n, self.classes))
         inner, width = (1 << self.depth) - 1, self.bins
+        flat = code + np.arange(f) * width
+        real = np.arange(width) < np.array([len(c) for c in cuts])[:, None]  # bins that a cut ends
         self.trees = []
         for _ in range(self.rounds):
             p = np.exp(score - score.max(1, keepdims=True))
@@ -222,17 +273,12 @@ class Boosted:
                 for level in range(self.depth):
                     base, nodes = (1 << level) - 1, 1 << level
                     local = at - base
-                    gain = np.full((nodes, f), -np.inf)
-                    where = np.zeros((nodes, f), int)
-                    for j in range(f):
-                        key = local * width + code[:, j]
-                        gs = np.bincount(key, g, nodes * width).reshape(nodes, width).cumsum(1)
-                        hs = np.bincount(key, h, nodes * width).reshape(nodes, width).cumsum(1)
-                        gt, ht = gs[:, -1:], hs[:, -1:]
-                        gains = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
-                        gains[:, len(cuts[j]) :] = -np.inf
-                        where[:, j] = gains.argmax(1)
-                        gain[:, j] = gains.max(1)
+                    # all features' histograms at once: (node, feature, bin)
+                    key = (local[:, None] * (f * width) + flat).ravel()
+                    gs, hs = (np.bincount(key, np.repeat(v, f), nodes * f * width).reshape(nodes, f, width).cumsum(2) for v in (g, h))
+                    gt, ht = gs[..., -1:], hs[..., -1:]
+                    gains = np.where(real, gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1), -np.inf)
+                    where, gain = gains.argmax(2), gains.max(2)
                     pick = gain.argmax(1)
                     for k in range(nodes):
                         j = pick[k]
@@ -263,7 +309,9 @@ def sample_page(rng: np.random.Generator) -> str:
     letters = np.array(list("etaoinshrdluéü"))
 
     def words(n):
-        out = ["".join(letters[rng.integers(0, 14, rng.integers(2, 10))]) for _ in range(n)]
+        ends = rng.integers(2, 10, n).cumsum()
+        line = "".join(letters[rng.integers(0, 14, ends[-1] if n else 0)].tolist())
+        out = [line[a:z] for a, z in zip([0, *ends.tolist()[:-1]], ends.tolist(), strict=True)] if n else []
         for i in range(int(rng.integers(3, 12)), n, 9):
             out[i] += pick(".", ",")
         return " ".join(out).capitalize()
@@ -324,11 +372,16 @@ def sample_page(rng: np.random.Generator) -> str:
     def maybe(chance, make):
         return make() if rng.random() < chance else ""
 
+    def bare():
+        return f"{some(6, 60)}{pick('<br>', '<br><br>', ' <i>x</i> ')}{some(4, 60)}" + pick("", "<br>")
+
+    outside = lambda x: x.replace("<", "<!--o--><", 1)
     main = [f"<h1>{some(2, 12)}</h1>"] if rng.random() < 0.8 else []
+    loose = rng.random() < 0.12  # text without paragraphs
     for _ in range(int(rng.integers(0, 3) if rng.random() < 0.3 else rng.integers(2, 14))):
         r = rng.random()
         if r < 0.74:
-            main.append(para())
+            main.append(bare() if loose and rng.random() < 0.7 else para())
         elif r < 0.8:
             main.append(f"<h2>{some(1, 8)}</h2>")
         elif r < 0.84:
@@ -340,16 +393,31 @@ def sample_page(rng: np.random.Generator) -> str:
         elif r < 0.92:
             main.append(f"<div>{para()}{para()}</div>")
         else:
-            main.append(pick(ad, form, notice, aside)().replace("<", "<!--o--><", 1))
+            main.append(outside(pick(ad, form, notice, aside)()))
     if not main:
         main = [f"<h1>{some(2, 8)}</h1>"]
-    inside = maybe(0.15, lambda: comments().replace("<", "<!--o--><", 1))
+    if rng.random() < 0.04:
+        main.append(pick("<svg class='icon'/>", "<svg><path d='M0'/></svg>", f"<math><mi>{some(1, 2)}</mi><mo>=</mo></math>", f"<noscript><img src='x'>{some(1, 8)}</noscript>"))
+    inside = maybe(0.15, lambda: outside(comments()))
     shell = pick("article", "article", "article", "main", "div", "section")
     mark = "" if shell in ("article", "main") and rng.random() < 0.7 else attr("content", "post", "story", "article-body", "entry-content", "main-text", chance=0.95)
     body = f"<{shell}{mark} data-m>{''.join(main)}{inside}</{shell}>"
     if shell != "main" and rng.random() < 0.3:
         body = pick("<main>{}</main>", '<div class="wrapper">{}</div>', '<div id="page">{}</div>').format(maybe(0.3, ad) + body + maybe(0.3, aside) + maybe(0.3, comments))
-    parts = [maybe(0.5, head), maybe(0.75, nav), maybe(0.25, notice), maybe(0.5, ad), body, maybe(0.35, comments), maybe(0.35, aside), maybe(0.25, form), maybe(0.2, ad), maybe(0.75, foot), maybe(0.1, notice)]
+    if rng.random() < 0.22:  # nothing around the text
+        around = rng.random() < 0.7
+        if rng.random() < 0.5:
+            main = [pick(bare, bare, para)() for _ in range(rng.integers(1, 4))]
+        sides = [[outside(part) for part in (maybe(c, make) for c, make in side) if part and around] for side in (
+            ((0.4, head), (0.7, nav), (0.2, notice), (0.4, ad)), ((0.35, comments), (0.3, aside), (0.25, form), (0.2, ad), (0.7, foot)))]
+        if rng.random() < 0.12:  # nor any text
+            return f"<!DOCTYPE html><html><body>{''.join(sides[0])}{''.join(sides[1])}"
+        return f"<!DOCTYPE html><html><head><title>{some(2, 8)}</title></head><body data-m>{''.join(sides[0])}{''.join(main) or bare()}{inside}{''.join(sides[1])}"
+
+    def script():
+        return f"<noscript><p>{some(3, 14)}</p></noscript>"
+
+    parts = [maybe(0.05, script), maybe(0.5, head), maybe(0.75, nav), maybe(0.25, notice), maybe(0.5, ad), body, maybe(0.35, comments), maybe(0.35, aside), maybe(0.25, form), maybe(0.2, ad), maybe(0.75, foot), maybe(0.1, notice)]
     return f"<!DOCTYPE html><html><head><title>{some(2, 8)}</title><style>p{{}}</style></head><body>{''.join(parts)}" + pick("</body></html>", "")
 
 
@@ -383,7 +451,7 @@ def truth(source: str) -> tuple[Page, np.ndarray]:
 
 
 @lru_cache(maxsize=2)
-def trained(pages: int = 700, seed: int = 7) -> Boosted:
+def trained(pages: int = 1500, seed: int = 7) -> Boosted:
     """The model, fitted on made-up pages (a fixed number, from a fixed seed)."""
     rng = np.random.default_rng(seed)
     xs, ys = [], []
@@ -407,8 +475,11 @@ def extract_main_text(pages: DataFrame, *, model: Boosted | None = None, id_col:
     """page_id, url, text and n_chars of every row of pages. Text is the main
     article's, references decoded, white space in a block as one space, blocks in
     page order joined by one space. A null or empty html, or one without main
-    text, gives an empty text. One pass without a shuffle; a row's result depends
-    on its html alone, so repeated rows repeat; other columns are not read."""
+    text, gives an empty text; a null id or url stays null; very long pages are
+    read whole; an empty table gives an empty result. One pass without a shuffle;
+    a row's result depends on its html alone, so repeated rows repeat; other
+    columns are not read. Text of svg, math and noscript in the article counts,
+    that of iframe and template does not."""
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def run(batches):

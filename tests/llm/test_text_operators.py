@@ -199,6 +199,31 @@ def test_html_examples(spark):
     assert htmltext.extract_main_text(df.where("false")).count() == 0
 
 
+A = "The text stands here, long enough. It goes on."
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    (f"<html><head><title>t</title><article><p>{A}</p><p>More.</p></article>", f"{A} More."),  # no </head>, no <body>
+    (f"<title>t</title><meta charset=x><p>{A}</p>", A),
+    (f"<body>{A}<br>Second line.</body>", f"{A} Second line."),
+    (A, A),
+    (f"<div class=nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></div>{A}<p>{A}<div class=footer>copyright</div>", f"{A} {A}"),
+    (f"<body><svg class=icon/><article><p>{A}</p></article>", A),
+    (f"<body><svg><article><p>{A}</p></article>", A),
+    (f"<body><math/><article><p>{A}</p></article>", A),
+    (f"<body><iframe src=x><article><p>{A}</p></article>", A),
+    (f"<body><noscript><article><p>{A}</p></article>", A),
+    (f"<body><template><article><p>{A}</p></article>", A),
+    (f"<article><p>{A} <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, so.</p><noscript>Seen without scripts.</noscript><svg><title>no</title><text>Label</text></svg><xmp><b></xmp></article>", f"{A} x=1, so. Seen without scripts. Label <b>"),
+    (f"<article><p>{A}</p></article><script>var t = '<p>x</p>'", A),  # unclosed: to the end
+    (f"<article><p>{A}</p><style>p {{</style><p>{A}</p></body></html><p>{A}</p></article>", f"{A} {A} {A}"),
+    ("<nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav><footer>&copy; me</footer>", ""),
+    ("<body><form><label>Mail</label><input></form><script>x", ""),
+])
+def test_html_with_tags_left_out(source, text):
+    assert htmltext.main_texts([source], htmltext.trained()) == [text]
+
+
 def test_html_on_held_out_pages():
     model, rng, good = htmltext.trained(), np.random.default_rng(99), 0
     for _ in range(100):
