@@ -14,12 +14,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which all executors share; a
-    temporary one is made only where the setting is absent (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
+    """The folder named in spark.checkpoint.dir (or set on the context), which
+    all executors share. Where it is unset one is made, in local mode alone: on a
+    cluster no folder of the driver's would do."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="leafspring-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,15 +40,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by stored() that nothing will read again, and let
     Spark drop the shuffle files of plans that are no longer referenced."""
     for t in tables:
-        spark = t.sparkSession
-        jvm = spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(t._leafspring_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    release_shuffles(spark)
+        delete(t.sparkSession, t._leafspring_path)
+    if tables:
+        release_shuffles(tables[0].sparkSession)
+
+
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that df has not, in any case of letters."""
+    have, name = {c.lower() for c in df.columns}, f"leafspring_{stem}"
+    while name in have:
+        name += "_"
+    return name
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Words, components, discard, mix64, release_shuffles, run_hashes, stored, text_batches
+from .common import Words, components, discard, free_name, mix64, release_shuffles, run_hashes, stored, text_batches
 
 BANDS, ROWS = 52, 7
 REGISTERS = BANDS * ROWS
@@ -299,5 +299,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 3, similarity: tuple[int,
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """docs with one document of each component left (the smallest id), all
     columns kept; documents without an id or a word stay."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    name = free_name(docs, "gone")
+    gone = near_duplicates(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(name), "left_anti")

@@ -6,9 +6,11 @@ the smallest of the hashes of its inner word runs, so equal windows have equal
 anchors and a document has about one anchor for five windows. The index is a set
 of immutable runs sorted by anchor, each with the smallest and largest document
 of every anchor in one batch; a new batch makes a run, which is merge-joined with
-the history without a shuffle and compacted into one. Anchors met in two
-documents name the windows that can repeat; those, and only those, are compared
-by their own 96-bit hashes over all their words."""
+the runs before it as it comes, without a shuffle of history; runs are compacted
+as they gather. Anchors met in two documents name the windows that can repeat;
+those, and only those, are compared word by word. A window or anchor that very
+many documents share is pre-aggregated where it is counted, and where it is looked
+up the join's hot partition is split as it runs (adaptive skew joins)."""
 
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Words, discard, fresh_path, release_shuffles, run_hashes, stored, text_batches
+from .common import Words, delete, discard, fresh_path, free_name, release_shuffles, run_hashes, stored, text_batches
 
 GRAM = 5
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -52,10 +54,6 @@ class Windows:
         a, z = int(self.bounds[i]), int(self.bounds[i + 1])
         return slice(a, max(a, z - self.window + 1))
 
-    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
-        """A 64-bit and a further 32-bit hash of each window's words."""
-        return run_hashes(self.words, self.window).view(np.int64), (run_hashes(self.words, self.window, 0xD1342543DE82EF95) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-
 
 def _split(text: str | None) -> list[bytes]:
     """The words (bytes.split() parts at the six ASCII blanks)."""
@@ -86,55 +84,82 @@ def _among(x: np.ndarray, some: pa.Array) -> np.ndarray:
 
 
 class FingerprintIndex:
-    """Runs (anchor, lo, hi) of the batches added so far, as bucketed, sorted
-    tables in the shared folder; equal bucket counts let runs be merged, and
-    batches be looked up, without a shuffle of history."""
+    """A log of runs (anchor, lo, hi), one for each batch so far: bucketed, sorted
+    tables in the shared folder that are never changed. add() merge-joins a batch
+    with all of them, without a shuffle of history, and says which of its anchors
+    are known; where most_runs runs have gathered they are first compacted into
+    one. An index outlives a call (and, by manifest() and reopen(), a session), so
+    later batches are held against everything filed before."""
 
     def __init__(self, spark: SparkSession, window: int = 13, buckets: int | None = None, most_runs: int = 2):
         self.spark, self.window, self.most_runs = spark, window, most_runs
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
+        self.runs: dict[str, str] = {}  # table -> folder
+        self.compactions = 0
+
+    def manifest(self) -> dict:
+        return {"window": self.window, "buckets": self.buckets, "paths": list(self.runs.values())}
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, manifest: dict, **options) -> FingerprintIndex:
+        out = cls(spark, manifest["window"], manifest["buckets"], **options)
+        for path in manifest["paths"]:
+            name = f"leafspring_run_{uuid.uuid4().hex}"
+            spark.sql(f"create table {name} (anchor bigint, lo bigint, hi bigint) using parquet clustered by (anchor) sorted by (anchor) into {out.buckets} buckets location '{path}'")
+            out.runs[name] = path
+        return out
 
     def _write(self, run: DataFrame) -> str:
         name = f"leafspring_run_{uuid.uuid4().hex}"
-        run.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", fresh_path(self.spark, name)).saveAsTable(name)
-        self.runs.append(name)
+        path = fresh_path(self.spark, name)
+        run.write.bucketBy(self.buckets, "anchor").sortBy("anchor").option("path", path).saveAsTable(name)
+        self.runs[name] = path
         return name
 
-    def add(self, rows: DataFrame) -> None:
-        """File a batch of (doc_id, text); runs beyond most_runs are compacted."""
-        self._write(postings(rows, self.window).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
-        if len(self.runs) > self.most_runs:
+    def add(self, rows: DataFrame) -> DataFrame:
+        """File a batch of (doc_id, text); returns the anchors, a stored table,
+        that the batch shares with the history or has in two documents."""
+        if len(self.runs) >= self.most_runs:
             self.compact()
+        history = list(self.runs)
+        new = self._write(postings(rows, self.window).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+        known, seen = self.spark.table(new), F.col("lo") < F.col("hi")
+        for i, name in enumerate(history):
+            known = known.join(self.spark.table(name).select("anchor", F.lit(True).alias(f"in{i}")).hint("merge"), "anchor", "left")
+            seen = seen | F.col(f"in{i}").isNotNull()
+        return stored(known.where(seen).select("anchor"), "known")
 
     def merged(self) -> DataFrame:
         """(anchor, lo, hi) over all runs."""
-        out = self.spark.table(self.runs[0])
-        for name in self.runs[1:]:
-            new = self.spark.table(name).withColumnsRenamed({"lo": "lo2", "hi": "hi2"})
-            out = out.join(new.hint("merge"), "anchor", "full_outer").select("anchor", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
+        first, *rest = self.runs
+        out = self.spark.table(first)
+        for name in rest:
+            more = self.spark.table(name).withColumnsRenamed({"lo": "lo2", "hi": "hi2"})
+            out = out.join(more.hint("merge"), "anchor", "full_outer").select("anchor", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
         return out
 
     def compact(self) -> None:
         """All runs as one; the old ones are deleted."""
-        old = self.runs[:]
-        self._write(self.merged())
-        self._drop(old)
+        old = list(self.runs)
+        if len(old) > 1:
+            self._write(self.merged())
+            self._drop(old)
+            self.compactions += 1
 
     def _drop(self, names: list[str]) -> None:
         for name in names:
-            gone = self.spark.table(name)
-            gone._leafspring_path = gone.inputFiles()[0].rpartition("/")[0] if gone.inputFiles() else None
             self.spark.sql(f"drop table {name}")
-            if gone._leafspring_path:
-                discard(gone)
-            self.runs.remove(name)
+            delete(self.spark, self.runs.pop(name))
 
     def close(self) -> None:
-        self._drop(self.runs[:])
+        """Delete the index."""
+        self._drop(list(self.runs))
 
 
-def repeated_passages(docs: DataFrame, *, window: int = 13, batches: int = 2, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> tuple[DataFrame, DataFrame]:
+def repeated_passages(
+    docs: DataFrame, *, window: int = 13, batches: int = 3, id_col: str = "doc_id", text_col: str = "text", texts: bool = False,
+    index: FingerprintIndex | None = None, history: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(base, changed). base: doc_id, sha (of all words), n_words of every row of
     docs. changed: doc_id, sha, n_removed and kept_sha256 (with texts: kept,
     the words left, joined by a space) of each row that loses words.
@@ -142,9 +167,16 @@ def repeated_passages(docs: DataFrame, *, window: int = 13, batches: int = 2, id
     A word goes if a window that covers it also starts in a document with a
     smaller id; windows are judged on the input. Rows of one text are one
     document as far as windows go: all but the smallest id lose every word, if
-    there are `window` of them. Batches are ranges of ids and change nothing in
-    the result."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    there are `window` of them. docs are filed in batches, ranges of ids, each
+    merge-joined with the runs before it; their number changes nothing in the
+    result.
+
+    With an index, docs are added to it and it stays open; history is then the
+    documents (of the same two columns) that it holds already. They stand before
+    all of docs, whatever their ids, and are read for the windows of known anchors
+    alone. Without one an index is made for the call."""
+    cols = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")]
+    rows = docs.select(*cols)
     spark = docs.sparkSession
 
     def to_base(batches):
@@ -157,19 +189,29 @@ def repeated_passages(docs: DataFrame, *, window: int = 13, batches: int = 2, id
     long_enough = base.where(f"n_words >= {window} and doc_id is not null")
     firsts = stored(long_enough.groupBy("sha").agg(F.min("doc_id").alias("first")), "firsts")
     named = rows.where("doc_id is not null and text is not null")
-    index = FingerprintIndex(spark, window, most_runs=max(2, batches))
-    cuts = (named.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] or []) if batches > 1 else []
-    cuts = sorted(set(cuts))
-    for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
-        part = named if lo is None else named.where(F.col("doc_id") > lo)
-        index.add(part if hi is None else part.where(F.col("doc_id") <= hi))
-        release_shuffles(spark)
-    shared = stored(index.merged().where("lo < hi").select("anchor"), "shared")
-    index.close()
+    own_index = index is None
+    index = index or FingerprintIndex(spark, window)
+    if index.window != window:
+        raise ValueError("the index is of another window")
+    known = []
+    try:
+        cuts = (named.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)])).first()[0] or []) if batches > 1 else []
+        cuts = sorted(set(cuts))
+        for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
+            part = named if lo is None else named.where(F.col("doc_id") > lo)
+            known.append(index.add(part if hi is None else part.where(F.col("doc_id") <= hi)))
+            release_shuffles(spark)
+    finally:
+        if own_index:
+            index.close()
+    shared = known[0]
+    for more in known[1:]:
+        shared = shared.unionByName(more)
+    shared = stored(shared.distinct(), "shared")
+    discard(*known)
     # the documents of shared anchors, less the later copies of whole texts
     again = postings(named, window).join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
     flagged = stored(again.join(firsts.withColumnRenamed("first", "doc_id"), "doc_id"), "flagged")
-    discard(shared)
 
     def own(batches):  # rows that share an id with another text go to their own text's entry
         for b in batches:
@@ -184,32 +226,49 @@ def repeated_passages(docs: DataFrame, *, window: int = 13, batches: int = 2, id
         for b in batches:
             for part in text_batches(b, 1):
                 w = Windows(part.column(1), window)
-                h1, h2 = w.hashes()
-                ids, places = [], []
-                for i, (doc, anchors) in enumerate(zip(part.column(0).to_pylist(), part.column(3), strict=True)):
+                h = run_hashes(w.words, window)
+                ids, places, strings = [], [], []
+                for i, (doc, text, anchors) in enumerate(zip(part.column(0).to_pylist(), part.column(1), part.column(3), strict=True)):
                     own = w.at(i)
                     live = own.start + np.flatnonzero(_among(w.anchors[own], anchors.values))
-                    _, first = np.unique(h1[live], return_index=True)
-                    places.append(live[first]), ids.append(np.full(len(first), doc, np.int64))
-                at = np.concatenate(places)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[at], h2[at], np.concatenate(ids))], ["h1", "h2", "doc_id"])
-
-    windows = suspects.mapInArrow(to_windows, "h1 long, h2 int, doc_id long")
-    again = stored(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h1", "h2", "lo"), "repeated")
+                    if len(live):
+                        _, first = np.unique(h[live], return_index=True)
+                        words = _split(text.as_py())
+                        at = (live[first] - own.start).tolist()
+                        strings += [b" ".join(words[p : p + window]) for p in at]
+                        places += at
+                        ids.append(np.full(len(at), doc, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), pa.array(places, pa.int32()), pa.array(_joined(ids))], ["words", "place", "doc_id"])
+
+    def windows_of(d):
+        return d.mapInArrow(to_windows, "words binary, place int, doc_id long")
+
+    # windows are compared by their words; a document with a window twice has it once here
+    windows = windows_of(suspects)
+    first = windows.groupBy("words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    if history is not None:
+        old = history.select(*cols).where("doc_id is not null and text is not null")
+        mine = postings(old, window).join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+        before = windows_of(old.join(mine, "doc_id").select("doc_id", "text", F.lit("").alias("sha"), "anchors")).select("words").distinct()
+        first = first.join(before.withColumn("old", F.lit(True)), "words", "left").withColumn("lo", F.when(F.col("old").isNull(), F.col("lo")).otherwise(-(1 << 63)))
+        first = first.withColumn("hi", F.when(F.col("old").isNull(), F.col("hi")).otherwise((1 << 63) - 1))
+    repeated = stored(first.where("lo < hi").select("words", "lo"), "repeated")
+    discard(shared)
     release_shuffles(spark)
-    hits = windows.join(again, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("h1").alias("hits"))
+    hits = windows.join(repeated, "words").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
     hits = stored(hits, "hits")
-    discard(again)
+    discard(repeated)
 
     def to_kept(batches):
         for b in batches:
             for part in text_batches(b, 1):
                 w = Windows(part.column(1), window)
-                h1, _ = w.hashes()
+                h = run_hashes(w.words, window)
                 removed, kept = [], []
                 for i, (text, found) in enumerate(zip(part.column(1), part.column(3), strict=True)):
-                    words = _split(text.as_py())
-                    at_hit = np.flatnonzero(_among(h1[w.at(i)], found.values))
+                    words, own = _split(text.as_py()), h[w.at(i)]
+                    places = found.values.to_numpy(zero_copy_only=False)
+                    at_hit = _same_windows(words, own, places, window)
                     edge = np.bincount(at_hit, minlength=len(words) + 1) - np.bincount(at_hit + window, minlength=len(words) + 1)
                     stay = edge[:-1].cumsum() == 0
                     removed.append(int(len(words) - stay.sum()))
@@ -218,13 +277,29 @@ def repeated_passages(docs: DataFrame, *, window: int = 13, batches: int = 2, id
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "sha", "n_removed", last])
 
     last = "kept" if texts else "kept_sha256"
-    partly = suspects.join(hits, "doc_id").select("doc_id", "text", "sha", "hits").mapInArrow(to_kept, f"doc_id long, sha string, n_removed long, {last} string")
+    partly = suspects.join(hits, "doc_id").select("doc_id", "text", "sha", "places").mapInArrow(to_kept, f"doc_id long, sha string, n_removed long, {last} string")
     copies = long_enough.join(firsts, "sha").where("doc_id > first").select("doc_id", "sha", F.col("n_words").alias("n_removed"), F.lit("" if texts else _EMPTY).alias(last))
     changed = stored(partly.unionByName(copies).dropDuplicates(["doc_id", "sha"]), "changed")
     discard(suspects, hits)
     return base, changed
 
 
+def _joined(ids: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(ids) if ids else np.zeros(0, np.int64)
+
+
+def _same_windows(words: list[bytes], hashes: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
+    """All places of a document's windows whose words are those at one of places
+    (the first of each kind); hashes find them, words decide."""
+    places = np.sort(places)
+    order = np.argsort(hashes[places], kind="stable")
+    of = hashes[places][order]
+    at = np.flatnonzero(_among(hashes, pa.array(of)))
+    source = places[order][np.searchsorted(of, hashes[at])]
+    wrong = [k for k in np.flatnonzero(at != source).tolist() if words[at[k] : at[k] + window] != words[source[k] : source[k] + window]]
+    return np.delete(at, wrong)
+
+
 def passage_digest(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of docs. A null
     text has no words; a row with a null id neither loses words nor makes others
@@ -241,11 +316,12 @@ def remove_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_co
     they are."""
     _, changed = repeated_passages(docs, id_col=id_col, text_col=text_col, texts=True, **options)
     names = docs.columns
-    own = changed.select(F.col("doc_id").alias("_id"), F.col("sha").alias("_sha"), F.col("kept").alias("_kept"))
     # rows that share an id but not a text: the word digest tells them apart
-    several = own.groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("_sha", "_kept"))).alias("_by"))
-    joined = docs.join(several, docs[id_col].cast("long") == F.col("_id"), "left")
-    blank = F.regexp_replace(F.col(text_col), r"[\x20\x09-\x0D]+", " ")
+    key, by = free_name(docs, "id"), free_name(docs, "by")
+    several = changed.groupBy(F.col("doc_id").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("sha", "kept"))).alias(by))
+    joined = docs.join(several, F.col(f"`{id_col}`").cast("long") == F.col(key), "left")
+    text = F.col(f"`{text_col}`")
+    blank = F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
     mine = F.sha2(F.encode(F.trim(blank), "UTF-8"), 256)
-    text = F.when(F.col("_by").isNotNull(), F.coalesce(F.try_element_at("_by", mine), F.col(text_col))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).select(*names)
+    new = F.when(F.col(by).isNotNull(), F.coalesce(F.try_element_at(by, mine), text)).otherwise(text)
+    return joined.select(*[(new if n == text_col else F.col(f"`{n}`")).alias(n) for n in names])
