@@ -129,6 +129,42 @@ def test_index_compacts_to_the_same(spark, docs):
     index.close()
 
 
+def test_later_batches_are_held_against_the_index(spark, docs, texts):
+    """Three batches, each with the index of those before: as if all were one. The
+    index is written down and opened again on the way."""
+    want = brute_passages(texts)
+    rows = docs.select("doc_id", "text").orderBy("doc_id").collect()
+    index, at = substring.FingerprintIndex(spark, 13, most_runs=2), [0, 90, 130, len(rows)]
+    for k in range(3):
+        old, new = spark.createDataFrame(rows[: at[k]], "doc_id long, text string"), spark.createDataFrame(rows[at[k] : at[k + 1]], "doc_id long, text string")
+        got = substring.passage_digest(new, index=index, history=old, batches=1).collect()
+        assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == {r.doc_id: (want[r.doc_id][0], want[r.doc_id][1], hashlib.sha256(want[r.doc_id][2].encode()).hexdigest()) for r in new.collect()}
+        index = substring.FingerprintIndex.reopen(spark, index.manifest())
+        assert len(index.runs) <= 2
+    # whatever stands in the history counts as before, even with a larger id
+    late = spark.createDataFrame([(-1, rows[5].text)], "doc_id long, text string")
+    n, _, _ = want[rows[5].doc_id]
+    assert [(r.n_words, r.n_removed) for r in substring.passage_digest(late, index=index, history=docs, batches=1).collect()] == [(n, n)]
+    index.close()
+    assert index.runs == {}
+
+
+def test_the_query_compacts(spark, docs, monkeypatch):
+    tables = lambda: {t.name for t in spark.catalog.listTables() if t.name.startswith("leafspring_run")}
+    seen, before = [], tables()
+    closed = substring.FingerprintIndex.close
+    monkeypatch.setattr(substring.FingerprintIndex, "close", lambda self: (seen.append(self.compactions), closed(self)))
+    substring.passage_digest(docs)
+    assert seen == [1]
+    assert tables() == before
+
+
+def test_hashes_alone_decide_nothing(monkeypatch):
+    """Where all windows had one hash, the words would still tell them apart."""
+    words = [b"a", b"b", b"a", b"b", b"c", b"a", b"b"]
+    assert substring._same_windows(words, np.zeros(6, np.uint64), np.array([0]), 2).tolist() == [0, 2, 5]
+
+
 def test_contamination_survives_substitutions(spark, odd, none):
     rng = np.random.default_rng(2)
     items = [(i, " ".join(f"q{x}" for x in rng.integers(0, 900, 40))) for i in range(30)]
@@ -153,6 +189,77 @@ def test_contamination_survives_substitutions(spark, odd, none):
     assert decontaminate.contamination(none, bench).count() == decontaminate.contamination(df, bench.where("false")).count() == 0
 
 
+def brute_overlaps(doc, item, least=13, drop=4):
+    """The best overlap of two token lists, from every seed on every diagonal."""
+    def reach(same):
+        score = best = end = 0
+        for i, x in enumerate(same):
+            score += 1 if x else -1
+            if score > best:
+                best, end = score, i + 1
+            if best - score >= drop:
+                break
+        return end
+
+    masks = decontaminate.MASKS if len(item) >= 8 else ("1" * len(item),) if len(item) > 1 else ()
+    best = None
+    for d in range(1 - len(item), len(doc)):
+        a, z = max(0, d), min(len(doc), d + len(item))
+        same = [doc[i] == item[i - d] for i in range(a, z)]
+        hits = [(i, len(m)) for m in masks for i in range(len(same) - len(m) + 1) if all(same[i + k] for k, c in enumerate(m) if c == "1")]
+        for i, width in hits:
+            lo, hi = i - reach(same[:i][::-1]), i + width + reach(same[i + width :])
+            matched, span = sum(same[lo:hi]), hi - lo
+            if matched >= min(least, len(item)) and 5 * matched >= 4 * span:
+                best = max(best or (0,), (matched, -span, -(a + lo), d, len(hits)))
+    return best and (best[4], best[0], -best[1], -best[2], -best[2] - best[1])
+
+
+def test_contamination_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    items = [[f"w{x}" for x in rng.integers(0, v, n)] for v, n in [(3, 30), (9, 40), (400, 25), (400, 60), (400, 12), (400, 8), (400, 7), (400, 6), (400, 3), (2, 5), (50, 14)]]
+    items += [["ha"] * 40, ["a", "b"] * 15, [*items[3][10:40], *items[3][10:40]]]
+    docs = []
+    for i in range(70):
+        words = [f"w{x}" for x in rng.integers(0, (3, 9, 400)[i % 3], 60)]
+        part = list(items[i % len(items)])
+        for p in rng.integers(0, len(part), rng.integers(0, 1 + len(part) // 6)):
+            part[p] = "zz"
+        at = int(rng.integers(0, 60))
+        docs.append([*words[:at], *part[int(rng.integers(0, 3)) :], *words[at:]])
+    docs += [items[4], ["x", *items[5]], ["ha"] * 90, ["ha", *["ha"] * 30, "b"], ["b", *["a", "b"] * 30], items[13] * 2, items[7], items[8] * 3]
+    want = {(d, k): b for d, x in enumerate(docs) for k, y in enumerate(items) if (b := brute_overlaps(x, y))}
+    assert len({k for _, k in want}) == len(items) and len(want) > 60
+    df = spark.createDataFrame([(d, " ".join(x)) for d, x in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(y)) for k, y in enumerate(items)] * 2, "item_id long, text string")
+    for chars in (1 << 20, 300):
+        rows = decontaminate.contamination(df, bench, block_chars=chars).collect()
+        assert {(r.doc_id, r.item_id): tuple(r)[2:] for r in rows} == want and len(rows) == len(want)
+
+
+def test_repeated_words_cost_no_product():
+    """Hits of one word, repeated in the item and the text, are not all listed."""
+    index = decontaminate.SeedIndex([(1, "ha " * 4000), (2, "ho hi " * 2000)])
+    runs = index._runs(np.array([index.vocab["ha"]] * 4000))
+    assert sum(map(len, runs.values())) < 5 * 8000
+    assert index.matches("ha " * 4000, 13, 4)[0][2:] == (4000, 4000, 0, 4000)
+    assert index.matches("hi ho " * 2000, 13, 4)[0][2:] == (3999, 3999, 0, 3999)
+
+
+def test_contamination_finds_substituted_items(spark, sf):
+    """Of the table's items, with every tenth token another, all are found."""
+    rng = np.random.default_rng(6)
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    rows = []
+    for r in bench.collect():
+        words = r.text.split()
+        for p in range(int(rng.integers(0, 10)), len(words), 10):
+            words[p] = "swapped"
+        rows.append((r.item_id, "before it " * 9 + " ".join(words) + " after it" * 9))
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert {r.doc_id for r in got if r.doc_id == r.item_id} == {r[0] for r in rows}
+
+
 def test_contamination_finds_every_whole_passage(spark, docs, texts, sf):
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     norm = lambda t: " ".join(decontaminate.TOKEN.findall(t.lower()))
