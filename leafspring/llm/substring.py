@@ -8,7 +8,8 @@ of immutable runs sorted by anchor, each with the smallest and largest document
 of every anchor in one batch; a new batch makes a run, which is merge-joined with
 the runs before it as it comes, without a shuffle of history; runs are compacted
 as they gather. Anchors met in two documents name the windows that can repeat;
-those, and only those, are compared word by word. A window or anchor that very
+those, and only those, are verified by 96 bits of hashes over all their words, and
+inside a document by the words. A window or anchor that very
 many documents share is pre-aggregated where it is counted, and where it is looked
 up the join's hot partition is split as it runs (adaptive skew joins)."""
 
@@ -54,6 +55,10 @@ class Windows:
         a, z = int(self.bounds[i]), int(self.bounds[i + 1])
         return slice(a, max(a, z - self.window + 1))
 
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """A 64-bit and a further 32-bit hash of each window's words."""
+        return run_hashes(self.words, self.window).view(np.int64), (run_hashes(self.words, self.window, 0xD1342543DE82EF95) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
 
 def _split(text: str | None) -> list[bytes]:
     """The words (bytes.split() parts at the six ASCII blanks)."""
@@ -226,37 +231,36 @@ def repeated_passages(
         for b in batches:
             for part in text_batches(b, 1):
                 w = Windows(part.column(1), window)
-                h = run_hashes(w.words, window)
-                ids, places, strings = [], [], []
-                for i, (doc, text, anchors) in enumerate(zip(part.column(0).to_pylist(), part.column(1), part.column(3), strict=True)):
+                h1, h2 = w.hashes()
+                ids, places, starts = [], [], []
+                for i, (doc, anchors) in enumerate(zip(part.column(0).to_pylist(), part.column(3), strict=True)):
                     own = w.at(i)
                     live = own.start + np.flatnonzero(_among(w.anchors[own], anchors.values))
-                    if len(live):
-                        _, first = np.unique(h[live], return_index=True)
-                        words = _split(text.as_py())
-                        at = (live[first] - own.start).tolist()
-                        strings += [b" ".join(words[p : p + window]) for p in at]
-                        places += at
-                        ids.append(np.full(len(at), doc, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(strings, pa.binary()), pa.array(places, pa.int32()), pa.array(_joined(ids))], ["words", "place", "doc_id"])
+                    _, first = np.unique(h1[live], return_index=True)
+                    places.append(live[first]), starts.append(live[first] - own.start), ids.append(np.full(len(first), doc, np.int64))
+                at = np.concatenate(places)
+                both = (h2[at].astype(np.int64) << 32) | np.concatenate(starts)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[at], both, np.concatenate(ids))], ["h1", "both", "doc_id"])
 
     def windows_of(d):
-        return d.mapInArrow(to_windows, "words binary, place int, doc_id long")
+        """(h1, both, doc_id): each document's distinct windows of shared anchors by 96
+        bits of hashes of all their words; both is 32 of them and the place."""
+        return d.mapInArrow(to_windows, "h1 long, both long, doc_id long")
 
-    # windows are compared by their words; a document with a window twice has it once here
+    h2 = F.shiftright("both", 32).alias("h2")
     windows = windows_of(suspects)
-    first = windows.groupBy("words").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    first = windows.groupBy("h1", h2).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     if history is not None:
         old = history.select(*cols).where("doc_id is not null and text is not null")
         mine = postings(old, window).join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
-        before = windows_of(old.join(mine, "doc_id").select("doc_id", "text", F.lit("").alias("sha"), "anchors")).select("words").distinct()
-        first = first.join(before.withColumn("old", F.lit(True)), "words", "left").withColumn("lo", F.when(F.col("old").isNull(), F.col("lo")).otherwise(-(1 << 63)))
+        before = windows_of(old.join(mine, "doc_id").select("doc_id", "text", F.lit("").alias("sha"), "anchors")).select("h1", h2).distinct()
+        first = first.join(before.withColumn("old", F.lit(True)), ["h1", "h2"], "left").withColumn("lo", F.when(F.col("old").isNull(), F.col("lo")).otherwise(-(1 << 63)))
         first = first.withColumn("hi", F.when(F.col("old").isNull(), F.col("hi")).otherwise((1 << 63) - 1))
-    repeated = stored(first.where("lo < hi").select("words", "lo"), "repeated")
+    repeated = stored(first.where("lo < hi").select("h1", "h2", "lo"), "repeated")
     discard(shared)
     release_shuffles(spark)
-    hits = windows.join(repeated, "words").where("doc_id > lo").groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    hits = stored(hits, "hits")
+    found = windows.join(repeated.withColumnRenamed("h1", "h"), (F.col("h1") == F.col("h")) & (F.shiftright("both", 32) == F.col("h2"))).where("doc_id > lo")
+    hits = stored(found.groupBy("doc_id").agg(F.collect_set(F.col("both").bitwiseAND((1 << 32) - 1).cast("int")).alias("places")), "hits")
     discard(repeated)
 
     def to_kept(batches):
@@ -284,10 +288,6 @@ def repeated_passages(
     return base, changed
 
 
-def _joined(ids: list[np.ndarray]) -> np.ndarray:
-    return np.concatenate(ids) if ids else np.zeros(0, np.int64)
-
-
 def _same_windows(words: list[bytes], hashes: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
     """All places of a document's windows whose words are those at one of places
     (the first of each kind); hashes find them, words decide."""
