@@ -1,9 +1,10 @@
-"""Operators on ordered document rows. Every window is partitioned by doc_id and
-ordered by ord, so one shuffle by document serves a chain of them."""
+"""Operators on ordered document rows: front matter, headings, sections, words,
+chapters. Windows are partitioned by doc_id (or begin with it), so that one shuffle
+by document serves a chain of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 
@@ -11,189 +12,58 @@ NOISE = ("aside_text", "header", "footer", "page_number")
 LABELS = ("TITLE", "AUTHORS", "AFFIL")
 
 
-def _doc():
-    return Window.partitionBy("doc_id").orderBy("ord")
+def reading_order():
+    """A document's items by page, then in list order."""
+    return Window.partitionBy("doc_id").orderBy("page", "ord")
 
 
-def _so_far():
-    return _doc().rowsBetween(Window.unboundedPreceding, 0)
+def so_far(window):
+    return window.rowsBetween(Window.unboundedPreceding, 0)
 
 
 def drop_noise(items: DataFrame) -> DataFrame:
     return items.where(~F.coalesce("type", F.lit("")).isin(*NOISE))
 
 
-def label_items(items: DataFrame, page_offset: int = 0) -> DataFrame:
-    """Pages, front-matter labels, headings (numbered or u1, u2, ...) and the
-    section of every text item (doc_id, ord, type, page_idx, text, text_level)."""
-    page = F.coalesce("page_idx", F.lit(0)) + 1 + page_offset
-    d = drop_noise(items).withColumn("page", page).withColumn("txt", T.strip(F.col("text")))
-    textish = F.col("type").isin("text", "page_footnote") & (F.coalesce("txt", F.lit("")) != "")
-    abstract = F.upper("txt") == "ABSTRACT"
-    per_page = Window.partitionBy("doc_id", "page").orderBy("ord")
-    h2 = (textish & F.col("text_level").eqNullSafe(2) & ~abstract).cast("int")
-    prior = F.coalesce(F.sum(h2).over(per_page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    free = textish & (F.col("page") == 1) & ~F.col("text_level").eqNullSafe(2) & (prior == 0)
-    d = d.withColumn("q", free.cast("int")).withColumn("rank", F.sum("q").over(_so_far()))
-    label = F.when((F.col("q") == 1) & (F.col("rank") <= 3), F.element_at(F.array(*map(F.lit, LABELS)), F.col("rank").cast("int")))
-    d = d.withColumn("label", label)
-    heading = textish & F.col("label").isNull() & F.coalesce(F.col("text_level").isin(1, 2), F.lit(False)) & ~abstract
-    d = d.withColumn("is_heading", heading).withColumn("num", F.when(heading, F.nullif(T.heading_number(F.col("txt")), F.lit(""))))
-    own = F.sum((F.col("is_heading") & F.col("num").isNull()).cast("int")).over(_so_far())
-    name = T.slugify(F.when(F.col("num").isNotNull(), T.heading_name(F.col("txt"))).otherwise(F.col("txt")))
-    section = F.when(F.col("is_heading"), F.concat_ws(".", F.coalesce("num", F.concat(F.lit("u"), own.cast("string"))), name))
-    d = d.withColumn("heading_id", section)
-    d = d.withColumn("section", F.coalesce(F.last("heading_id", True).over(_so_far()), F.lit("abstract")))
-    d = d.withColumn("heading_ordinal", F.sum(F.col("is_heading").cast("int")).over(_so_far()))
-    return d.select("doc_id", "ord", "type", "page", "txt", "label", "is_heading", "heading_id", "section", "heading_ordinal")
-
-
-def sentence_units(labelled: DataFrame) -> DataFrame:
-    """Tags and texts of title lines, headings and sentences, in order."""
-    body = F.col("label").isNull() & ~F.col("is_heading")
-    parts = F.when(body, T.split_sentences(T.wrap_greek(T.wrap_letter_equals(F.col("txt"))))).otherwise(F.array("txt"))
-    d = labelled.where("type in ('text', 'page_footnote') and txt <> ''").select("*", F.posexplode(parts).alias("pos", "en_text"))
-    is_body = (F.col("label").isNull() & ~F.col("is_heading")).cast("int")
-    page_seq = F.sum(is_body).over(Window.partitionBy("doc_id", "page").orderBy("ord", "pos").rowsBetween(Window.unboundedPreceding, 0))
-    section_seq = F.sum(is_body).over(Window.partitionBy("doc_id", "heading_ordinal").orderBy("ord", "pos").rowsBetween(Window.unboundedPreceding, 0))
-    p = F.concat(F.lit("P"), F.col("page").cast("string"), F.lit("-"))
-    tag = (
-        F.when(F.col("label").isNotNull(), F.concat(p, "label")).when(F.col("is_heading"), F.concat(p, F.lit("HEADING-"), F.col("heading_id")))
-        .otherwise(F.concat(p, F.lit("S"), page_seq.cast("string"), F.lit("-"), F.col("section"), F.lit("-S"), section_seq.cast("string")))
-    )
-    return d.select("doc_id", "ord", "pos", "page", tag.alias("tag"), "en_text").withColumn("kind", T.classify_tag(F.col("tag")))
-
+def absolute_page(page_offset: int = 0) -> Column:
+    return F.coalesce("page_idx", F.lit(0)) + 1 + page_offset
 
-def exclude_references(units: DataFrame) -> DataFrame:
-    """translatable: of the kinds that are, and outside the references."""
-    kinds = F.col("kind").isin("title", "heading", "body_sentence", "caption_sentence")
-    return units.withColumn("translatable", kinds & ~T.in_references(T.section_slug(F.col("tag"))))
 
-
-def document_context(units: DataFrame) -> DataFrame:
-    """The first title, then the abstract's sentences, per document."""
-    in_abstract = (F.col("kind") == "body_sentence") & F.col("tag").contains("-abstract-")
-    got = units.groupBy("doc_id").agg(
-        F.min_by("en_text", F.when(F.col("kind") == "title", F.struct("ord", "pos"))).alias("title"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(in_abstract, F.struct("ord", "pos", "en_text")))), lambda s: s["en_text"]), " ").alias("abstract"),
-    )
-    return got.select("doc_id", F.concat_ws("\n", F.nullif("title", F.lit("")), F.nullif("abstract", F.lit(""))).alias("context"))
-
-
-def translation_context(units: DataFrame) -> DataFrame:
-    """Of every translatable unit, the document's context and the (up to) three
-    protected sentences before it."""
-    w = Window.partitionBy("doc_id").orderBy("ord", "pos").rowsBetween(-3, -1)
-    d = units.where("translatable").withColumn("protected", T.protect(F.col("en_text")))
-    d = d.withColumn("near", F.nullif(F.array_join(F.collect_list("protected").over(w), "\n"), F.lit("")))
-    d = d.join(document_context(units), "doc_id", "left")
-    return d.withColumn("context", F.nullif(F.concat_ws("\n\n", F.nullif("context", F.lit("")), "near"), F.lit(""))).drop("near")
-
-
-def translate(units: DataFrame, backend=None) -> DataFrame:
-    """ja_text by backend, a function of (protected, context) columns to a
-    column; the default gives the text back. Maths is restored."""
-    d = translation_context(units)
-    done = backend(F.col("protected"), F.col("context")) if backend else F.col("protected")
-    return d.withColumn("ja_text", T.restore(done, T.math_spans(F.col("en_text"))))
-
-
-def protect_letters(units: DataFrame) -> DataFrame:
-    """Single letters left over in ja_text that stand alone, outside maths, in
-    both texts become maths in both; a later one sees the earlier edits."""
-    todo = F.filter(F.transform(T.leak_candidates(F.col("ja_text")), T.strip_unpaired), lambda t: t.rlike(r"^[A-Za-z]\z"))
-
-    def wrap(acc, t):
-        alone = F.concat(F.lit("(?<![A-Za-z0-9])"), t, F.lit("(?![A-Za-z0-9])"))
-        plain = {k: T.protect(acc[k]) for k in ("en", "ja")}
-        both = F.regexp_like(plain["en"], alone) & F.regexp_like(plain["ja"], alone)
-        put = F.concat(F.lit("\\$"), t, F.lit("\\$"))
-        done = {k: T.restore(F.regexp_replace(plain[k], alone, put), T.math_spans(acc[k])) for k in plain}
-        return F.struct(*[F.when(both, done[k]).otherwise(acc[k]).alias(k) for k in done])
-
-    d = units.withColumn("_t", F.aggregate(todo, F.struct(F.col("en_text").alias("en"), F.col("ja_text").alias("ja")), wrap))
-    return d.withColumn("en_text", F.col("_t.en")).withColumn("ja_text", F.col("_t.ja")).drop("_t")
-
-
-def repair_math(units: DataFrame) -> DataFrame:
-    """Letters first: a comparison may be merged with one that became maths."""
-    return merge_math(protect_letters(units))
-
-
-def merge_math(units: DataFrame) -> DataFrame:
-    """Function calls, then comparisons, drawn into their maths spans in ja_text;
-    in en_text too where the same literal stands."""
-    for finder in (T.function_calls, T.comparisons):
-        units = units.withColumn("_c", finder(F.col("ja_text")))
-        units = units.withColumn("ja_text", T.replace_first(F.col("ja_text"), F.col("_c"))).withColumn("en_text", T.replace_first(F.col("en_text"), F.col("_c"))).drop("_c")
-    return units
-
-
-def paragraph_blocks(units: DataFrame) -> DataFrame:
-    """Units with block_id: neighbouring sentences of one paragraph share it;
-    any other unit is its own block; equation images are no unit."""
-    d = units.where("kind <> 'equation_image'")
-    order = Window.partitionBy("doc_id").orderBy("ord", "pos")
-    para = F.col("kind").isin("body_sentence", "caption_sentence")
-    key = F.when(para, T.paragraph_key(F.col("tag"))).otherwise(F.concat_ws("#", "tag", "ord", "pos"))
-    d = d.withColumn("_key", key).withColumn("_new", (~F.col("_key").eqNullSafe(F.lag("_key").over(order))).cast("int"))
-    return d.withColumn("block_id", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_key", "_new")
-
-
-def block_html(units: DataFrame, column: str = "en_text") -> DataFrame:
-    """One HTML element per block."""
-    text = T.html_escape(F.col(column))
-    d = paragraph_blocks(units).groupBy("doc_id", "block_id").agg(
-        F.min(F.struct("ord", "pos", "kind", "tag")).alias("first"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "pos", text.alias("t")))), lambda s: s["t"]), " ").alias("inner"),
-    )
-    level = T.heading_level(T.section_slug(F.col("first.tag"))).cast("string")
-    name = F.when(F.col("first.kind") == "title", "h1").when(F.col("first.kind") == "heading", F.concat(F.lit("h"), level)).when(F.col("first.kind").isin("authors", "affil"), "div").otherwise("p")
-    return d.select("doc_id", "block_id", F.concat(F.lit("<"), name, F.lit(">"), F.col("inner"), F.lit("</"), name, F.lit(">")).alias("html"))
-
-
-def bilingual_html(units: DataFrame) -> DataFrame:
-    """One element per block with en_text and ja_text side by side, a row each
-    sentence; authors and affiliations, and equations, in one column."""
-    en, ja = T.html_escape(F.col("en_text")), T.html_escape(F.coalesce("ja_text", "en_text"))
-    strong = lambda c: F.when(F.col("kind") == "title", F.concat(F.lit("<strong>"), c, F.lit("</strong>"))).otherwise(c)
-    row = F.concat(F.lit('<tr><td class="en">'), strong(en), F.lit('</td><td class="ja">'), strong(ja), F.lit("</td></tr>"))
-    d = paragraph_blocks(units).groupBy("doc_id", "block_id").agg(
-        F.min(F.struct("ord", "pos", "kind", "tag", en.alias("en"))).alias("first"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "pos", row.alias("r")))), lambda s: s["r"]), "").alias("rows"),
-    )
-    level = T.heading_level(T.section_slug(F.col("first.tag"))).cast("string")
-    kind = F.col("first.kind")
-    extra = F.when(kind == "title", " title-block").when(kind == "heading", F.concat(F.lit(" heading-block level-"), level)).otherwise("")
-    one = F.when(kind.isin("authors", "affil"), "meta").when(kind == "equation_latex", "equation")
-    html = F.when(one.isNotNull(), F.concat(F.lit('<div class="'), one, F.lit('">'), F.col("first.en"), F.lit("</div>"))).otherwise(
-        F.concat(F.lit('<table class="bilingual'), extra, F.lit('">'), F.col("rows"), F.lit("</table>"))
-    )
-    return d.select("doc_id", "block_id", html.alias("html"))
+def add_labels(items: DataFrame, page_offset: int = 0) -> DataFrame:
+    """Items (doc_id, ord, type, page_idx, text, text_level, ...), noise dropped, with
+    page, txt, label (TITLE, AUTHORS, AFFIL), is_heading, heading_id (numbered or
+    u1, u2, ... in list order) and section. Texts are taken as they are: see
+    layout.normalise_items()."""
+    d = drop_noise(items).withColumn("page", absolute_page(page_offset)).withColumn("txt", T.strip(F.col("text")))
+    textish = F.coalesce("type", F.lit("")).isin("text", "page_footnote") & (F.coalesce("txt", F.lit("")) != "")
+    abstract = F.upper("txt") == "ABSTRACT"
+    level = F.col("text_level")
+    d = d.withColumn("_free", textish & (F.col("page") == 1) & ~level.eqNullSafe(2))
+    # page 1 stands first, so a count over the document is one over its front page
+    h2 = F.sum((textish & (F.col("page") == 1) & level.eqNullSafe(2) & ~abstract).cast("int")).over(so_far(reading_order()))
+    d = d.withColumn("_free", F.coalesce("_free", F.lit(False)) & (h2 == 0))
+    d = d.withColumn("_rank", F.sum(F.col("_free").cast("int")).over(so_far(reading_order())))
+    d = d.withColumn("label", F.when(F.col("_free") & (F.col("_rank") <= 3), F.element_at(F.array(*map(F.lit, LABELS)), F.col("_rank").cast("int"))))
+    heading = F.coalesce(textish & F.col("label").isNull() & level.isin(1, 2) & ~abstract, F.lit(False))
+    d = d.withColumn("is_heading", heading).withColumn("_num", F.when(F.col("is_heading"), F.nullif(T.heading_number(F.col("txt")), F.lit(""))))
+    unnumbered = (F.col("is_heading") & F.col("_num").isNull()).cast("int")
+    d = d.withColumn("_own", F.sum(unnumbered).over(so_far(Window.partitionBy("doc_id").orderBy("ord"))))
+    name = T.slugify(F.when(F.col("_num").isNotNull(), T.heading_name(F.col("txt"))).otherwise(F.col("txt")))
+    d = d.withColumn("heading_id", F.when(F.col("is_heading"), F.concat_ws(".", F.coalesce("_num", F.concat(F.lit("u"), F.col("_own").cast("string"))), name)))
+    d = d.withColumn("section", F.coalesce(F.last("heading_id", True).over(so_far(reading_order())), F.lit("abstract")))
+    return d.drop("_free", "_rank", "_num", "_own")
 
 
-def page_markdown(units: DataFrame, first: int, last: int | DataFrame) -> DataFrame:
-    """A page's tagged lines; pages of the range without units are empty. last is
-    a page, or (doc_id, last) with the last page of each document."""
-    line = F.concat(F.lit("["), F.col("tag"), F.lit("] "), F.col("en_text"))
-    pages = units.groupBy("doc_id", "page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "pos", line.alias("l")))), lambda s: s["l"]), "\n").alias("body"))
-    docs = last if isinstance(last, DataFrame) else units.select("doc_id", F.lit(last).alias("last")).distinct()
-    # by document alone, so that texts dealt by document stay where they are
-    bodies = pages.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("page", "body"))).alias("bodies"))
-    page = lambda p: F.struct(p.alias("page"), F.coalesce(F.try_element_at("bodies", p), F.lit("")).alias("body"))
-    return docs.where(F.col("last") >= first).join(bodies, "doc_id", "left").select("doc_id", F.inline(F.transform(F.sequence(F.lit(first), F.col("last")), page)))
+def label_items(items: DataFrame, page_offset: int = 0) -> DataFrame:
+    return add_labels(items, page_offset).select("doc_id", "ord", "type", "page", "txt", "label", "is_heading", "heading_id", "section")
 
 
-def parse_tagged(lines: DataFrame) -> DataFrame:
-    """Units of tagged lines (doc_id, ord, line): '[P1-...] text' begins a unit,
-    other lines that aren't blank go on with the last one."""
-    tag = F.regexp_extract("line", r"^\[(P\d+-[^\]]*)\] ?", 1)
-    lost = F.col("line").rlike(r"^\[[^\]]*\]") & (tag == "")
-    d = lines.withColumn("tag", F.nullif(tag, F.lit(""))).where(~lost & (T.strip(F.col("line")) != ""))
-    d = d.withColumn("unit", F.count("tag").over(_so_far())).where("unit > 0")
-    body = T.strip(F.regexp_replace("line", r"^\[P\d+-[^\]]*\] ?", ""))
-    got = d.groupBy("doc_id", "unit").agg(F.max("tag").alias("tag"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", body.alias("b")))), lambda s: s["b"]), " ").alias("en_text"))
-    return got.withColumn("kind", T.classify_tag(F.col("tag"))).withColumn("page", F.regexp_extract("tag", r"^P(\d+)-", 1).cast("int"))
+def known_words(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """words(word) with known: in the lexicon, lower-cased, or one letter; never
+    the empty word. The lexicon side is distinct, so rows stay as they are."""
+    have = lexicon.select(F.lower("word").alias("_w")).distinct().withColumn("_in", F.lit(True))
+    d = words.join(have, F.lower("word") == F.col("_w"), "left")
+    return d.withColumn("known", (F.length("word") > 0) & (F.col("_in").isNotNull() | (F.length("word") == 1))).drop("_w", "_in")
 
 
 def restore_compounds(words: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -219,6 +89,13 @@ def chapter_ranges(toc: DataFrame) -> DataFrame:
     )
 
 
+def chapter_numbers(spec: Column) -> Column:
+    """Chapters of specs that chapter_spec() takes, as a sorted array."""
+    parts = F.filter(F.transform(F.split(spec, ","), lambda p: F.trim(p)), lambda p: p != "")
+    edge = lambda p, k: F.element_at(F.split(p, "-"), k).cast("int")
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.sequence(edge(p, 1), edge(p, -1))))))
+
+
 def chapter_spec(spec: str) -> list[int]:
     """'1,3-4' -> [1, 3, 4]."""
     out: set[int] = set()

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import document as D, layout as L, ranges as R
+from ..operators import document as D, layout as L, ranges as R, translation as X
 
 
 def _table(spark, sf_dir, name):
@@ -49,18 +49,40 @@ def body(spark, sf_dir):
 
 
 def chapter_hull(spark, sf_dir):
-    docs = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id")).distinct()
-    return R.resolve_ranges(docs, chapters="1", toc=_toc(spark, sf_dir))
+    """From chapter 2 to the end of chapter 4, of documents that have four."""
+    docs = _table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("doc_id")).count().where("count >= 4")
+    return R.resolve_ranges(docs, chapters="4, 2-3", toc=_toc(spark, sf_dir))
+
+
+def specs(spark, sf_dir):
+    """Chapter specs as numbers."""
+    d = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "concat(o_orderkey % 7 + 1, ', ', o_orderkey % 3 + 2, '-', o_orderkey % 3 + 2 + o_custkey % 4, if(o_custkey % 2 = 0, ',', '')) as spec")
+    return d.select("o_orderkey", "spec", F.array_join(D.chapter_numbers(F.col("spec")), "|").alias("chapters"))
+
+
+def label_range(spark, sf_dir):
+    """The first page with the label 'iv', and the first cover."""
+    labels = _labels(spark, sf_dir)
+    iv, cover = D.label_pages(labels, " IV "), D.label_pages(labels, "cov").withColumnRenamed("page", "cover")
+    return iv.join(cover, "doc_id", "full")
+
+
+def known(spark, sf_dir):
+    words = _table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).where("pos < 50")
+    lexicon = words.groupBy(F.lower("word").alias("word")).count().where("count >= 10").select("word")
+    return D.known_words(words, lexicon)
 
 
 def letters(spark, sf_dir):
     d = _table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey", "l_linenumber", "concat('Let z be $z$ and x (w) of ', l_linenumber, ' or zz.') as en_text", "concat('値z は$z$で、x）と(w)と', l_linenumber, 'のv。') as ja_text"
     )
-    return D.repair_math(d)
+    return X.repair_math(d).select("l_orderkey", "l_linenumber", "en_text", "ja_text")
 
 
-QUERIES = {"layout_elements": layout, "body_entries": body, "chapter_hull": chapter_hull, "letter_repair": letters}
+QUERIES = {
+    "layout_elements": layout, "body_entries": body, "chapter_hull": chapter_hull, "letter_repair": letters, "chapter_specs": specs, "label_pages": label_range, "known_words": known,
+}
 
 _LAYOUT = f"""
 with p as (select *, {ORD} as ord from lineitem),
@@ -92,10 +114,24 @@ j as (select t.*, body, max(body) over (partition by doc_id) as numbered from t
 select doc_id, toc_ord, page from j where body = 1 or numbered = 0
 """
 _HULL = """
-with t as (select o_custkey as doc_id, o_orderkey * 7 % 97 + 1 as page, row_number() over (partition by o_custkey order by o_orderkey) as chapter from orders)
-select a.doc_id, a.page as first_page, coalesce((select min(page) from t b where b.doc_id = a.doc_id and b.page > a.page) - 1, 100)::bigint as last_page from t a where chapter = 1
+with t as (select o_custkey as doc_id, o_orderkey * 7 % 97 + 1 as page, row_number() over (partition by o_custkey order by o_orderkey) as chapter from orders),
+e as (select a.*, coalesce((select min(page) from t b where b.doc_id = a.doc_id and b.page > a.page) - 1, 100) as last from t a)
+select doc_id, min(page) as first_page, max(last)::bigint as last_page from e where chapter in (2, 3, 4) group by doc_id having count(*) = 3
+"""
+_SPECS = """
+with s as (select o_orderkey, o_orderkey % 7 + 1 as a, o_orderkey % 3 + 2 as b, o_orderkey % 3 + 2 + o_custkey % 4 as c, o_custkey from orders)
+select o_orderkey, a || ', ' || b || '-' || c || case when o_custkey % 2 = 0 then ',' else '' end as spec, array_to_string(list_sort(list_distinct(list_append(range(b, c + 1), a))), '|') as chapters from s
+"""
+_LABELS = """
+with t as (select o_custkey as doc_id, o_orderkey * 7 % 97 + 1 as page, case when o_custkey % 2 = 0 and o_orderkey % 3 = 0 then 'cover' when o_custkey % 5 = 0 then 'iv' end as label from orders)
+select doc_id, min(page) filter (label = 'iv') as page, min(page) filter (label = 'cover') as cover from t where label is not null group by doc_id
+"""
+_KNOWN = """
+with w as (select doc_id, ws[i] as word, (i - 1)::int as pos from (select doc_id, string_split(text, ' ') as ws from documents), unnest(range(1, len(ws) + 1)) as r(i) where i <= 50),
+lex as (select lower(word) as word from w group by 1 having count(*) >= 10)
+select *, word <> '' and (lower(word) in (select word from lex) or length(word) = 1) as known from w
 """
 _LETTERS = """
 select l_orderkey, l_linenumber, 'Let $z$ be $z$ and $x$ (w) of ' || l_linenumber || ' or zz.' as en_text, '値$z$ は$z$で、$x$）と(w)と' || l_linenumber || 'のv。' as ja_text from lineitem
 """
-ORACLE_SQL = {"layout_elements": _LAYOUT, "body_entries": _BODY, "chapter_hull": _HULL, "letter_repair": _LETTERS}
+ORACLE_SQL = {"layout_elements": _LAYOUT, "body_entries": _BODY, "chapter_hull": _HULL, "letter_repair": _LETTERS, "chapter_specs": _SPECS, "label_pages": _LABELS, "known_words": _KNOWN}

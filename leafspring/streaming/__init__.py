@@ -3,7 +3,13 @@ run unchanged on each."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def each_batch(stream, operator, path: str, checkpoint: str):
-    """Apply operator to every batch of a stream and append its rows to path."""
-    return stream.writeStream.foreachBatch(lambda df, _: operator(df).write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).start()
+from pyspark.sql import DataFrame
+
+
+def each_batch(stream: DataFrame, operator: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Apply operator to every batch of a stream; a batch's rows are the folder
+    batch=<number> of path, written anew if the batch is run again, so no row comes
+    twice. Gives a writer: choose its trigger and start() it."""
+    return stream.writeStream.foreachBatch(lambda df, n: operator(df).write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={n}")).option("checkpointLocation", checkpoint)

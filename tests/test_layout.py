@@ -3,7 +3,7 @@
 import pytest
 from pyspark.errors import SparkRuntimeException
 
-from leafspring.operators import document as D, layout as L, ranges as R
+from leafspring.operators import layout as L, ranges as R, translation as X
 from leafspring.plans.queries import QUERIES, units
 from leafspring.sources.cache import cached, fingerprint
 
@@ -42,7 +42,7 @@ def test_other_items(spark):
 
 
 def letters(spark, en, ja):
-    r = D.repair_math(spark.createDataFrame([(en, ja)], "en_text string, ja_text string")).first()
+    r = X.repair_math(spark.createDataFrame([(en, ja)], "en_text string, ja_text string")).first()
     return r.en_text, r.ja_text
 
 
@@ -89,11 +89,11 @@ def test_cache(spark, tmp_path):
 
 def test_every_page_is_written_and_read(spark, tmp_path):
     """Documents of 12, 1 and 11 pages; the last one's last page holds a header alone."""
-    rows = [(i, "\n".join(f"Line {k} says it. It goes on." for k in range(n))) for i, n in enumerate((60, 3, 51))]
+    rows = [(i, "\n".join(f"Line {k} says it. It goes on." for k in range(n))) for i, n in ((0, 60), (1, 3), (3, 51))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     pages = {(r.doc_id, r.page): r.body for r in QUERIES["page_markdown"](spark, str(tmp_path)).collect()}
-    assert sorted(pages) == [(i, p) for i, n in enumerate((12, 1, 11)) for p in range(1, n + 1)]
-    assert "Line 59 says it." in pages[0, 12] and pages[2, 11] == ""
+    assert sorted(pages) == [(i, p) for i, n in ((0, 12), (1, 1), (3, 11)) for p in range(1, n + 1)]
+    assert "Line 59 says it." in pages[0, 12] and pages[3, 11] == "\n"
     want = sorted((r.doc_id, r.page, r.tag, r.en_text) for r in units(spark, str(tmp_path)).collect())
     got = sorted((r.doc_id, r.page, r.tag, r.en_text) for r in QUERIES["parse_tagged"](spark, str(tmp_path)).collect())
     assert got == want and max(r[1] for r in got) == 12
