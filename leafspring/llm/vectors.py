@@ -138,43 +138,72 @@ def _kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def unit_classes(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
-    """(rep, label, dim, x, weight): the distinct usable vectors of each label
-    as unit vectors of doubles, with their smallest id and number of rows."""
+def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
+    """(vec_id, label, dim, x) of every row: x is the vector as unit vector of
+    doubles, null where it links with nothing."""
 
     def run(batches):
         for b in batches:
-            keep, blobs, dims = [], [], []
-            for i, v in enumerate(b.column(2)):
-                v = np.array(v.as_py(), float) if v.is_valid else np.zeros(0)  # None becomes NaN
-                with np.errstate(over="ignore", invalid="ignore"):
-                    top = np.abs(v).max() if len(v) else 0.0
-                    if np.isfinite(v).all() and top > 0:
-                        v = v / top
-                        keep.append(i), dims.append(len(v)), blobs.append((v / np.sqrt((v * v).sum())).tobytes())
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(dims, pa.int32()), pa.array(blobs, pa.binary())], ["vec_id", "label", "dim", "x"])
-
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("v")).where("label is not null and v is not null and vec_id is not null")
+            blobs, dims = [], []
+            for name, label, v in zip(b.column(0), b.column(1), b.column(2), strict=True):
+                x = None
+                if name.is_valid and label.is_valid and v.is_valid and len(v):
+                    v = np.array(v.as_py(), float)  # None becomes NaN
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        top = np.abs(v).max()
+                        if np.isfinite(v).all() and top > 0:
+                            v = v / top
+                            x = v / np.sqrt((v * v).sum())
+                dims.append(0 if x is None else len(x)), blobs.append(None if x is None else x.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dims, pa.int32()), pa.array(blobs, pa.binary())], ["vec_id", "label", "dim", "x"])
+
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("v"))
     return rows.mapInArrow(run, "vec_id long, label long, dim int, x binary")
 
 
-def route(rows: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(rep, cell, home, nav, x): the cells each vector visits. Cells larger
-    than a shard are split by k-means on a bounded sample, level by level; a
-    vector's home is the nearest part, it leads the way (nav) in the second
-    nearest of the last split too, and it visits every part that is hardly
-    farther than the nearest (within MARGIN), home rows and visiting rows alike."""
-    spark = rows.sparkSession
-    schema = "rep long, cell string, home boolean, nav boolean, x binary"
-    now = stored(rows.select("rep", F.concat_ws("/", "label", "dim").alias("cell"), F.lit(True).alias("home"), F.lit(True).alias("nav"), "x"), "cells")
-    settled = []
+ROUTED = ("rep", "id", "weight", "cell", "home", "nav", "asks", "x")
+
+
+def _by_cell(rows: DataFrame, made: DataFrame, each, schema: str) -> DataFrame:
+    """each(part, k, centers, angles) -> frame, of the rows of a cell in a batch;
+    angles (rows, k) to the centers of its parts."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for _, part in b.to_pandas().groupby("cell", sort=False):
+                k = int(part["k"].iloc[0])
+                c = np.frombuffer(part["c"].iloc[0], "<f8").reshape(k, -1)
+                out.append(each(part, k, np.arccos(np.clip(_matrix(part["x"]) @ c.T, -1, 1))))
+            if out:
+                yield pa.RecordBatch.from_pandas(pd.concat(out), preserve_index=False)
+
+    return rows.join(made, "cell").mapInArrow(run, schema)
+
+
+def route(rows: DataFrame, least: float, shard: int = SHARD) -> tuple[DataFrame, list[DataFrame], list[DataFrame]]:
+    """(routed, counts, edges) of rows(rep, id, weight, cell, x).
+
+    Cells larger than a shard are split by k-means on a bounded sample, level by
+    level. A vector's home is the nearest part; it leads the way (nav) in the second
+    nearest of the last split too. Home rows and visiting rows alike go on to every
+    part that is hardly farther than the nearest (within MARGIN), with two
+    exceptions, by the triangle inequality on angles: a part whose members are all
+    too far to link, and one whose members are all near enough. The latter is
+    covered: its weight is counted for the vector (counts: rep, others) and two links
+    tie them together (edges: a, b; one from the vector to a member, one from each
+    member to one of the vectors that cover it), and no row is moved. So a ball of
+    near-equal vectors, however large, sends each of its rows to one cell."""
+    far = float(np.arccos(least))
+    yes = F.lit(True)
+    now = stored(rows.select("rep", "id", "weight", "cell", yes.alias("home"), yes.alias("nav"), yes.alias("asks"), "x"), "cells")
+    settled, counts, edges = [], [], []
     for level in range(40):
         sizes = now.where("home").groupBy("cell").count()
         big = stored(sizes.where(F.col("count") > shard), "big")
         if not big.limit(1).count():
             break
-        settled.append(now.join(big.select("cell"), "cell", "left_anti").select("rep", "cell", "home", "nav", "x"))
+        settled.append(now.join(big.select("cell"), "cell", "left_anti").select(*ROUTED))
         share = 2048 / F.col("count")
         sample = now.where("home").join(big, "cell").where(F.pmod(F.xxhash64("rep", F.lit(level)), F.lit(1 << 20)) < share * (1 << 20)).select("cell", "count", "rep", "x")
 
@@ -185,31 +214,45 @@ def route(rows: DataFrame, shard: int = SHARD) -> DataFrame:
 
         made = stored(sample.groupBy("cell").applyInPandas(centers, "cell string, k int, c binary"), "centers")
 
-        def assign(batches):
-            for b in batches:
-                t = b.to_pandas()
-                out = []
-                for _, part in t.groupby("cell", sort=False):
-                    k = int(part["k"].iloc[0])
-                    c = np.frombuffer(part["c"].iloc[0], "<f8").reshape(k, -1)
-                    s = np.clip(_matrix(part["x"]) @ c.T, -1, 1)
-                    order = np.argsort(-s, 1, kind="stable")
-                    angle = np.arccos(s)
-                    go = angle <= angle.min(1, keepdims=True) + MARGIN
-                    home = part["home"].to_numpy()
-                    for j in range(k):
-                        first = (order[:, 0] == j) & home
-                        nav = first | (order[:, min(1, k - 1)] == j) & home
-                        pick = go[:, j] | nav
-                        if pick.any():
-                            out.append(pd.DataFrame({"rep": part["rep"].to_numpy()[pick], "cell": part["cell"].to_numpy()[pick] + f".{j}", "home": first[pick], "nav": nav[pick], "x": part["x"].to_numpy()[pick]}))
-                if out:
-                    yield pa.RecordBatch.from_pandas(pd.concat(out), schema=pa.schema([("rep", pa.int64()), ("cell", pa.string()), ("home", pa.bool_()), ("nav", pa.bool_()), ("x", pa.binary())]), preserve_index=False)
-
-        now = stored(now.select("rep", "cell", "home", "x").join(made, "cell").mapInArrow(assign, schema), "cells")
+        def nearest(part, k, angle):
+            at = angle.argmin(1)
+            return pd.DataFrame({"cell": part["cell"].to_numpy(), "j": at.astype("int32"), "angle": angle[np.arange(len(at)), at], "weight": part["weight"].to_numpy(), "id": part["id"].to_numpy()})
+
+        # of every part: its radius, what its members weigh, and one of them
+        homes = _by_cell(now.where("home").select("cell", "id", "weight", "x"), made, nearest, "cell string, j int, angle double, weight long, id long")
+        stats = stored(homes.groupBy("cell", "j").agg(F.max("angle").alias("radius"), F.sum("weight").alias("held"), F.min("id").alias("member")), "stats")
+        radii = stats.groupBy("cell").agg(F.map_from_entries(F.collect_list(F.struct("j", "radius"))).alias("r"))
+        parts = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda j: F.coalesce(F.try_element_at("r", j), F.lit(-1.0)))
+        with_radii = stored(made.join(radii, "cell").select("cell", "k", "c", parts.alias("r")), "radii")
+
+        def assign(part, k, angle):
+            order, home = np.argsort(angle, 1, kind="stable"), part["home"].to_numpy(dtype=bool)[:, None]
+            radius = np.array(list(part["r"].iloc[0]), float)[None]
+            first = (order[:, :1] == np.arange(k)) & home
+            second = (order[:, min(1, k - 1)][:, None] == np.arange(k)) & home
+            covered = (radius >= 0) & (angle + radius <= far - 1e-6) & ~first
+            near = (angle <= angle.min(1, keepdims=True) + MARGIN) & (angle - radius <= far + 1e-6) & (radius >= 0) & ~covered
+            # 1: home, 2: leads the way, 4: asks, 8: covered
+            kind = first * 7 | second * 2 | near * 4 | covered * 8
+            i, j = np.nonzero(kind)
+            t, own = part.iloc[i], kind[i, j]
+            cell = t["cell"].to_numpy() + np.array([f".{c}" for c in range(k)], object)[j]
+            x = np.where(own & 7, t["x"].to_numpy(), None)
+            return pd.DataFrame({"rep": t["rep"].to_numpy(), "id": t["id"].to_numpy(), "weight": t["weight"].to_numpy(), "cell": cell, "kind": own.astype("int32"), "x": x})
+
+        asking = now.where("asks").select("rep", "id", "weight", "cell", "home", "x")
+        dealt = stored(_by_cell(asking, with_radii, assign, "rep long, id long, weight long, cell string, kind int, x binary"), "dealt")
+        has = lambda bit: F.col("kind").bitwiseAND(bit) > 0
+        told = stats.select(F.concat(F.col("cell"), F.lit("."), F.col("j").cast("string")).alias("cell"), "held", "member")
+        cover = dealt.where(has(8)).select("rep", "id", "cell").join(told, "cell")
+        counts.append(cover.groupBy("rep").agg(F.sum("held").alias("others")))
+        hubs = cover.groupBy("cell").agg(F.min("id").alias("hub"))
+        edges.append(cover.select(F.col("id").alias("a"), F.col("member").alias("b")))
+        edges.append(dealt.where(has(1)).select("id", "cell").join(hubs, "cell").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        now = dealt.where(has(7)).select("rep", "id", "weight", "cell", has(1).alias("home"), has(2).alias("nav"), has(4).alias("asks"), "x")
     for part in settled:
         now = now.unionByName(part)
-    return now
+    return now, counts, edges
 
 
 def link_vectors(
@@ -224,19 +267,23 @@ def link_vectors(
     shards, and blocks of at most `block` queries search each shard they visit. A
     block is audited: `audit` of its queries are also answered by brute force, and
     where one of them found fewer than 97 of 100 of its links the whole block is
-    answered by brute force inside the cell. Links are counted and joined inside a block, and only
-    counts and spanning edges leave it, so a large group of near-equal vectors
-    moves rows in proportion to its members.
+    answered by brute force inside the cell. Links are counted and joined inside a
+    block, and only counts and spanning edges leave it. Shards all of whose members
+    link with a vector, as angles to their centers tell, are counted and tied to it
+    without a visit (see route()), so a ball of near-equal vectors moves rows in
+    proportion to its members. What the split loses (a link to a part farther than
+    MARGIN beyond the nearest) no audit sees; tests measure it on borderline pairs.
 
     Vectors that are null, empty, zero or hold a null or non-finite component, or
     whose label or id is null, link with nothing; vectors of other lengths are not
-    compared; ids that repeat are rows of their own but one node; an empty table
+    compared; ids that repeat are rows of their own (each with its own vector's links) but one node; an empty table
     gives an empty result; other columns are not read."""
-    unit = stored(unit_classes(vectors, id_col, vec_col, label_col), "units")
-    classes = stored(unit.groupBy("label", "dim", "x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
+    unit = stored(unit_vectors(vectors, id_col, vec_col, label_col), "units")
+    classes = unit.where("x is not null").groupBy("label", "dim", "x").agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
     # a smallest id shared by classes (repeated ids) would mix them: such classes take a key of their own
-    keyed = stored(classes.select("label", "dim", "x", "rep", "weight", F.xxhash64("label", "dim", "x", "rep").alias("key")), "keyed")
-    routed = stored(route(keyed.select(F.col("key").alias("rep"), "label", "dim", "x"), shard), "routed")
+    keyed = stored(classes.withColumn("rep", F.xxhash64("label", "dim", "x", "id")), "keyed")
+    routed, counted, tied = route(keyed.withColumn("cell", F.concat_ws("/", "label", "dim")), least, shard)
+    routed = stored(routed, "routed")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
@@ -246,8 +293,8 @@ def link_vectors(
 
     lists = routed.where("nav").groupBy("cell").applyInPandas(build, "rep long, near array<bigint>")
     union = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-    nodes = stored(routed.where("nav").join(union, "rep").join(keyed.select(F.col("key").alias("rep"), "weight", F.col("rep").alias("id")), "rep").select("cell", "rep", "id", "weight", "home", "x", "near"), "nodes")
-    visits = routed.join(keyed.select(F.col("key").alias("rep"), F.col("rep").alias("id")), "rep")
+    nodes = stored(routed.where("nav").join(union, "rep").select("cell", "rep", "id", "weight", "home", "x", "near"), "nodes")
+    visits = routed.where("asks")
     load = visits.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     queries = visits.join(load, "cell").select("cell", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int").alias("block"), "rep", "id", "x")
     copies = nodes.join(load, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "rep", "id", "weight", "home", "x", "near")
@@ -286,22 +333,17 @@ def link_vectors(
 
     grouped = queries.groupBy("cell", "block").cogroup(copies.groupBy("cell", "block"))
     found = stored(grouped.applyInPandas(search, "kind int, key long, value long"), "found")
-    counts = found.where("kind = 0").groupBy("key").agg(F.sum("value").alias("others"))
-    edges = found.where("kind = 1 and key <> value").select(F.col("key").alias("a"), F.col("value").alias("b"))
-    joined = components(edges)
-    known = keyed.join(counts, "key").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("label", "dim", "x", (F.col("others") + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    per_row = unit.join(known, ["label", "dim", "x"]).groupBy("vec_id", "label", "x").agg(F.first("links").alias("links"), F.min("component").alias("component"))
-    return _rows(vectors, per_row, id_col, vec_col, label_col)
-
-
-def _rows(vectors, per_row, id_col, vec_col, label_col):
-    """Results on the rows of vectors. Ids that repeat take the smallest
-    component of their rows and the links of each usable row's own class."""
-    best = per_row.groupBy("vec_id", "label").agg(F.max("links").alias("links"), F.min("component").alias("component"))
-    base = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).alias("v"))
-    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = F.col("v").isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.exists("v", lambda x: x != 0)
-    out = base.withColumn("usable", F.coalesce(usable, F.lit(False))).drop("v").join(best, ["vec_id", "label"], "left")
-    out = out.select("vec_id", F.when(F.col("usable"), F.coalesce("links", F.lit(0))).otherwise(0).cast("long").alias("n_links"), F.when(F.col("usable"), F.coalesce("component", "vec_id")).otherwise(F.col("vec_id")).alias("component_id"))
+    counts = found.where("kind = 0").select(F.col("key").alias("rep"), F.col("value").alias("others"))
+    edges = found.where("kind = 1").select(F.col("key").alias("a"), F.col("value").alias("b"))
+    for more in counted:
+        counts = counts.unionByName(more)
+    for more in tied:
+        edges = edges.unionByName(more)
+    member = stored(unit.join(keyed, ["label", "dim", "x"], "left").select("vec_id", "rep", "id", "weight"), "members")
+    # an id of several classes ties them together
+    spans = member.where("id is not null").groupBy("vec_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("vec_id", "a")
+    edges = edges.unionByName(member.join(spans, "vec_id").select("a", F.col("id").alias("b")))
+    joined = components(edges).withColumnRenamed("node", "id")
+    out = member.join(counts.groupBy("rep").agg(F.sum("others").alias("others")), "rep", "left").join(joined, "id", "left")
+    out = out.select("vec_id", F.coalesce(F.col("others") + F.col("weight") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -94,3 +94,58 @@ def test_groups_of_near_copies(spark):
     assert [got[i].n_links for i in range(len(x))] == want.tolist()
     first = {g: int(np.nonzero(group == g)[0][0]) for g in range(20)}
     assert [got[i].component_id for i in range(len(x))] == [first[g] for g in group]
+
+
+def ball(rng, n, noise, dim=32):
+    c = rng.standard_normal(dim)
+    x = c / np.linalg.norm(c) + noise * rng.standard_normal((n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_a_ball_is_not_sent_everywhere(spark, monkeypatch):
+    """Rows a vector, in a ball of near-equal vectors, don't grow with the ball; all
+    links are counted."""
+    rng, rows = np.random.default_rng(11), {}
+    kept = vectors.stored
+    for n in (500, 2000, 6000):
+        seen = {}
+        monkeypatch.setattr(vectors, "stored", lambda df, name: (out := kept(df, name), seen.__setitem__(name, out))[0])  # noqa: B023
+        df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(ball(rng, n, 0.003))], "vec_id long, embedding array<double>, label int")
+        got = vectors.link_vectors(df, shard=256).collect()
+        assert all(r.n_links == n - 1 and r.component_id == 0 for r in got) and len(got) == n
+        rows[n] = seen["routed"].count() / n
+    assert max(rows.values()) < 2.5
+
+
+def test_borderline_links_across_cells(spark):
+    """Pairs just above the least cosine, in shards so small that many are split."""
+    rng = np.random.default_rng(13)
+    base = rng.standard_normal((1500, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal(base.shape)
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.9803 * base + np.sqrt(1 - 0.9803**2) * other
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, near]))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.link_vectors(df, shard=128).collect()}
+    found = sum(got[i + 1500].component_id == i and got[i].n_links >= 1 for i in range(1500))
+    assert found >= 0.97 * 1500
+
+
+def test_balls_of_all_sizes_against_brute_force(spark):
+    """Balls so wide that some links of theirs hold and some don't, beside others."""
+    rng = np.random.default_rng(17)
+    x = np.concatenate([ball(rng, 300, e) for e in (0.002, 0.01, 0.02, 0.025, 0.03, 0.05)] + [ball(rng, 1, 0)] * 3)
+    x = np.concatenate([x, x[:40]])
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.vec_id, r.n_links, r.component_id) for r in vectors.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), shard=64).collect()}
+    want = {r[0]: r for r in brute(rows)}
+    assert all(got[i][1] <= want[i][1] for i in want) and sum(g[1] for g in got.values()) >= 0.97 * sum(w[1] for w in want.values())
+    assert sum(got[i][2] == want[i][2] for i in want) >= 0.97 * len(want)
+
+
+def test_repeated_ids_keep_their_own_links(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    df = spark.createDataFrame([(1, a, 1), (2, a, 1), (2, b, 1), (3, b, 1), (4, b, 1), (1, None, 1), (2, a, None)], "vec_id long, embedding array<double>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vectors.link_vectors(df).collect())
+    assert got == [(1, 0, 1), (1, 1, 1), (2, 0, 2), (2, 1, 1), (2, 2, 1), (3, 2, 1), (4, 2, 1)]
