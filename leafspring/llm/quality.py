@@ -129,7 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, *, per_grade: int = 3000, id_col:
     them where there are fewer), chosen by a hash of the id. That bound is for
     the fit alone; it keeps what reaches the driver (distinct bucket numbers)
     under a fixed size. Rows with null id, text or grade don't take part; an id
-    labelled twice counts with its lowest grade."""
+    labelled twice counts with its lowest grade, documents that share an id each with
+    it; texts are read whole, however long. Without labelled documents the model has
+    no weights, and every text the same grade."""
     graded = (
         labels.select(F.col(id_col).alias("doc_id"), grade_of().alias("grade"))
         .where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
@@ -156,8 +158,10 @@ def train(docs: DataFrame, labels: DataFrame, *, per_grade: int = 3000, id_col:
 
 def score_documents(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.5) -> DataFrame:
     """docs with expected_grade, p_good = P(top grade) and kept = p_good >= cut
-    added (columns of those names are replaced). One pass, no shuffle. A null
-    or empty text has no token and scores as the thresholds alone say."""
+    added (columns of those names are replaced; good_documents() leaves all as they
+    are). One pass, no shuffle. A null or empty text has no token and scores as the
+    thresholds alone say; a row's result depends on its text alone, so repeated rows
+    repeat; texts are read whole; an empty table gives an empty result."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # at most 2^18 weights
     base = docs.drop("expected_grade", "p_good", "kept")
@@ -172,3 +176,16 @@ def score_documents(docs: DataFrame, model: OrdinalModel, *, id_col: str = "doc_
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.float64())], names)
 
     return base.mapInArrow(run, schema).withColumn("kept", F.col("p_good") >= cut)
+
+
+def good_documents(docs: DataFrame, model: OrdinalModel, *, text_col: str = "text", cut: float = 0.5) -> DataFrame:
+    """The rows of docs that score_documents() keeps, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        score = shared.value.scorer()
+        for b in batches:
+            yield b.filter(pa.array([score(t.as_py() or "")[1] >= cut for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

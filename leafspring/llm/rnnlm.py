@@ -427,7 +427,10 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Learns from the documents that are not held out: counts from all of their
     tokens, the network from all of them too. Null texts are empty (the end alone);
     a null id is a training document; repeated rows repeat; without training
-    tokens every score is that of the half counts. Other columns are not read."""
+    tokens every score is that of the half counts; an empty table gives an empty
+    result; texts of any length are scored whole. Other columns are not read. score
+    (base_score does not) depends on how the table is dealt to tasks, as each task
+    fits a model on its documents and the models' mean goes on."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     spark = docs.sparkSession
     counts = stored(token_counts(rows), "counts")

@@ -279,6 +279,40 @@ def test_quality_on_held_out_labels(spark):
     assert right >= 0.9 * len(test)
 
 
+def test_quality_scores_by_their_definition(spark, docs, texts, sf):
+    """Scores from the weights, token by token; the fit is an optimum of the
+    penalised likelihood written out plainly."""
+    from math import exp, log
+
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    weight = dict(zip(model.buckets.tolist(), model.weights.tolist()))
+    for r in quality.score_documents(docs, model).collect():
+        z = sum(weight.get(quality.bucket(t), 0.0) for t in quality.tokens_of(texts[r.doc_id]))
+        tails = [1 / (1 + exp(t - z)) for t in model.thetas]
+        assert r.expected_grade == pytest.approx(sum(tails)) and r.p_good == pytest.approx(tails[-1]) and r.kept == (tails[-1] >= 0.5)
+    rng = np.random.default_rng(1)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(300)]
+    grades = np.array([min(2, int((x < 14).sum() // 2 + rng.integers(0, 2)) // 2) for x in rows])
+    fit = quality.fit_ordinal(rows, grades, 3, l1=1e-3, steps=4000)
+
+    def loss(w, theta):
+        total = 0.0
+        for x, g in zip(rows, grades):
+            z = sum(w.get(int(b), 0.0) for b in x)
+            p = [1.0, *(1 / (1 + exp(t - z)) for t in theta), 0.0]
+            total -= log(p[g] - p[g + 1])
+        return total / len(rows) + 1e-3 * sum(map(abs, w.values()))
+
+    w, theta = dict(zip(fit.buckets.tolist(), fit.weights.tolist())), fit.thetas.tolist()
+    best = loss(w, theta)
+    for b in range(40):
+        for step in (-0.05, 0.05):
+            assert loss(w | {b: w.get(b, 0.0) + step}, theta) > best - 2e-4
+    for k in range(2):
+        for step in (-0.05, 0.05):
+            assert loss(w, [t + step * (i == k) for i, t in enumerate(theta)]) > best - 2e-4
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, 0, 1), (6, None, 0), (None, 1, 1), (4, 0, 0), (77, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(odd, labels)
