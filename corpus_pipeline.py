@@ -15,7 +15,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go. It learns from the
     labelled ones of the documents given."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score_documents(docs, model).where("kept").select(*docs.columns)
+    return quality.good_documents(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
