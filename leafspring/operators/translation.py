@@ -113,11 +113,9 @@ def _flagged(units: DataFrame) -> Column:
     return F.col("translatable") if "translatable" in units.columns else F.lit(True)
 
 
-def protect_letters(units: DataFrame) -> DataFrame:
-    """Single letters left over in ja_text that stand alone, outside maths, in
-    both texts become maths in both; a later one sees the earlier edits. letters
-    counts them."""
-    todo = F.filter(F.transform(T.leak_candidates(F.col("ja_text")), T.strip_unpaired), lambda t: t.rlike(r"^[A-Za-z]\z"))
+def _letter_by_letter(todo: Column, en: Column, ja: Column) -> Column:
+    """(en, ja, n) with each letter of todo in turn made maths: for texts with a stray
+    dollar, where one letter's dollars may pair with it and so change what is maths."""
 
     def wrap(acc, t):
         alone = F.concat(F.lit("(?<![A-Za-z0-9])"), t, F.lit("(?![A-Za-z0-9])"))
@@ -127,9 +125,25 @@ def protect_letters(units: DataFrame) -> DataFrame:
         done = {k: T.restore(F.regexp_replace(plain[k], alone, put), T.math_spans(acc[k])) for k in plain}
         return F.struct(*[F.when(both, done[k]).otherwise(acc[k]).alias(k) for k in done], (acc["n"] + F.when(both, 1).otherwise(0)).alias("n"))
 
-    start = F.struct(F.col("en_text").alias("en"), F.col("ja_text").alias("ja"), F.lit(0).alias("n"))
-    d = units.withColumn("_t", F.when(_flagged(units) & (F.size(todo) > 0), F.aggregate(todo, start, wrap)).otherwise(start))
-    return d.withColumn("en_text", F.col("_t.en")).withColumn("ja_text", F.col("_t.ja")).withColumn("letters", F.col("_t.n")).drop("_t")
+    return F.aggregate(todo, F.struct(en.alias("en"), ja.alias("ja"), F.lit(0).alias("n")), wrap)
+
+
+def protect_letters(units: DataFrame) -> DataFrame:
+    """Single letters left over in ja_text that stand alone, outside maths, in
+    both texts become maths in both; a later one sees the earlier edits. letters
+    counts them. All of a text's are wrapped at once where it has no stray dollar."""
+    en, ja = F.col("en_text"), F.col("ja_text")
+    todo = F.array_distinct(F.filter(F.transform(T.leak_candidates(ja), T.strip_unpaired), lambda t: t.rlike(r"^[A-Za-z]\z")))
+    d = units.withColumn("_todo", F.when(_flagged(units), todo)).withColumn("_any", F.coalesce(F.size("_todo") > 0, F.lit(False)))
+    d = d.withColumn("_en", F.when(F.col("_any"), T.protect(en))).withColumn("_ja", F.when(F.col("_any"), T.protect(ja)))
+    alone = lambda c: F.regexp_extract_all(c, F.lit("(?<![A-Za-z0-9])[A-Za-z](?![A-Za-z0-9])"), F.lit(0))
+    d = d.withColumn("_good", F.array_intersect(F.array_intersect("_todo", alone("_en")), alone("_ja")))
+    stray = F.col("_en").contains("$") | F.col("_ja").contains("$")
+    pattern = F.concat(F.lit("(?<![A-Za-z0-9])(["), F.array_join("_good", ""), F.lit("])(?![A-Za-z0-9])"))
+    at_once = F.struct(*[T.restore(F.regexp_replace(f"_{k}", pattern, F.lit(r"\$$1\$")), T.math_spans(c)).alias(k) for k, c in (("en", en), ("ja", ja))], F.size("_good").alias("n"))
+    start = F.struct(en.alias("en"), ja.alias("ja"), F.lit(0).alias("n"))
+    d = d.withColumn("_t", F.when(F.col("_any") & stray, _letter_by_letter(F.col("_todo"), en, ja)).when(F.size("_good") > 0, at_once).otherwise(start))
+    return d.withColumn("en_text", F.col("_t.en")).withColumn("ja_text", F.col("_t.ja")).withColumn("letters", F.col("_t.n")).drop("_t", "_todo", "_any", "_en", "_ja", "_good")
 
 
 def merge_math(units: DataFrame) -> DataFrame:

@@ -53,6 +53,8 @@ def test_letters(spark):
     assert letters(spark, "$z$ only", "値zの") == ("$z$ only", "値zの")
     assert letters(spark, "K > 5", "値K と") == ("$K$ > 5", "値$K$ と")
     assert letters(spark, None, "値z") == (None, "値z")
+    assert letters(spark, "x and y, w", "値xとyとxとw") == ("$x$ and $y$, $w$", "値$x$と$y$と$x$と$w$")
+    assert letters(spark, "5$ x of y", "値5$ xのy") == ("5$ x of $y$", "値5$ xの$y$")  # "$ x" is no candidate of one letter
 
 
 def test_ranges(spark):
