@@ -407,6 +407,10 @@ def test_substrings_against_sql(docs, sf):
     assert same_as_duckdb(substring.passage_digest(docs), ORACLE_SQL["op8_substrings"], sf) == docs.count()
 
 
+def test_near_duplicates_against_sql(docs, sf):
+    assert same_as_duckdb(neardup.near_duplicates(docs), ORACLE_SQL["op9_near_duplicates"], sf) == docs.count()
+
+
 def test_licenses_find_templates(spark, odd, none):
     pad = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor"
     rows = [(i, f"{pad} {pad} {t.upper()} {pad}", n) for i, (n, t) in enumerate(licenses.notices().items())]

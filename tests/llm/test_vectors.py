@@ -1,7 +1,9 @@
+import duckdb
 import numpy as np
 import pytest
 
 from leafspring.llm import vectors
+from leafspring.llm.queries import ORACLE_SQL
 
 
 def brute(rows, least=0.98):
@@ -63,6 +65,14 @@ def test_links_of_the_table(spark, sf):
     assert sum(r[1] for r in got.values()) >= 0.97 * sum(r[1] for r in want.values())
 
 
+def test_links_of_the_table_against_sql(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
+    rel = con.sql(ORACLE_SQL["op5_vectors"])
+    got = vectors.link_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")).select(*rel.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(rel.fetchall())
+
+
 def test_graph_reaches_everything():
     rng = np.random.default_rng(1)
     x = rng.standard_normal((600, 16))
