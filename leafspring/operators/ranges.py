@@ -58,7 +58,5 @@ def check_range(first: int, last: int, pages: int) -> None:
 
 def range_name(first=None, last=None, first_label=None, last_label=None, chapters: str | None = None) -> str:
     """Of labels, else pages, else chapters, else 'full'."""
-    for prefix, a, b in (("label", first_label, last_label), ("p", first, last)):
-        if a is not None or b is not None:
-            return prefix + "-".join(str(v) for v in (a, b) if v is not None)
-    return "chapter" + chapters.replace(",", "_") if chapters else "full"
+    edges = lambda name, *ends: name + "-".join(str(e) for e in ends if e is not None) if any(e is not None for e in ends) else ""
+    return edges("label", first_label, last_label) or edges("p", first, last) or (f"chapter{chapters.replace(',', '_')}" if chapters else "full")
