@@ -11,16 +11,16 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import release_shuffles, stored
+from .common import release_shuffles, stored, text_batches
 
 HEAD_CLASSES, CLASS_SIZE, TAIL_CLASSES = 16, 64, 24
 HEAD, CLASSES, STATE, STEPS = HEAD_CLASSES * CLASS_SIZE, HEAD_CLASSES + TAIL_CLASSES, 24, 32
@@ -61,25 +61,32 @@ class Vocabulary:
         return np.concatenate([own, self.class_count + 0.5 * (self.class_types + 1)])
 
 
-SHAPES = {
-    "x": (INPUTS, 3 * STATE), "h": (STATE, 3 * STATE), "b": (3 * STATE,), "cw": (STATE, CLASSES), "cb": (CLASSES,),
-    "ww": (HEAD_CLASSES, STATE, CLASS_SIZE), "wb": (HEAD_CLASSES, CLASS_SIZE),
+SHAPES = {  # gates: reset, update, candidate state; the last row of cw and of each ww is the bias
+    "x": (3, INPUTS, STATE), "h": (3, STATE, STATE), "b": (3, STATE),
+    "cw": (STATE + 1, CLASSES), "ww": (HEAD_CLASSES, STATE + 1, CLASS_SIZE),
 }
 
 
 def initial(vocab: Vocabulary, seed: int = 3) -> dict[str, np.ndarray]:
     """Small random weights; output biases are the unigram distribution's."""
     rng = np.random.default_rng(seed)
-    p = {k: (rng.standard_normal(s) * (0.3 if k == "x" else 0.2)).astype(np.float32) for k, s in SHAPES.items()}
-    p["cw"] *= 0.1
-    p["ww"] *= 0.1
-    p["b"][:] = 0
-    mass = vocab.class_mass()
-    p["cb"] = np.where(mass > 0, np.log(np.maximum(mass, 1e-9) / mass.sum()), -30).astype(np.float32)
-    cells = vocab.cells()
+
+    def drawn(*shape, by=0.2):
+        return (rng.standard_normal(shape) * by).astype(np.float32)
+
+    x, h = drawn(INPUTS, 3, STATE, by=0.3), drawn(STATE, 3, STATE)
+    drawn(3 * STATE)
+    p = {k: np.ascontiguousarray(v.transpose(1, 0, 2)) for k, v in (("x", x), ("h", h))} | {"b": np.zeros(SHAPES["b"], np.float32)}
+    cw = drawn(STATE, CLASSES)
+    drawn(CLASSES)
+    ww = drawn(HEAD_CLASSES, STATE, CLASS_SIZE)
+    mass, cells = vocab.class_mass(), vocab.cells()
+    cb = np.where(mass > 0, np.log(np.maximum(mass, 1e-9) / mass.sum()), -30)
     with np.errstate(invalid="ignore"):
         norm = cells - np.where(mass[:HEAD_CLASSES] > 0, np.log(np.maximum(mass[:HEAD_CLASSES], 1e-9)), 0)[:, None]
-    p["wb"] = np.where(np.isfinite(cells), norm, -30).astype(np.float32)
+    wb = np.where(np.isfinite(cells), norm, -30)
+    p["cw"] = np.concatenate([cw * 0.1, cb[None]]).astype(np.float32)
+    p["ww"] = np.concatenate([ww * 0.1, wb[:, None]], 1).astype(np.float32)
     return p
 
 
@@ -88,151 +95,187 @@ def pack(p: dict) -> np.ndarray:
 
 
 def unpack(v: np.ndarray) -> dict:
+    """Views of v where it is float32 already."""
     out, at = {}, 0
     for k, s in SHAPES.items():
         n = math.prod(s)
-        out[k] = v[at : at + n].reshape(s).astype(np.float32)
+        out[k] = v[at : at + n].reshape(s).astype(np.float32, copy=False)
         at += n
     return out
 
 
-def _sigmoid(x):
-    """In place."""
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 def recur(p: dict, ids: np.ndarray, h: np.ndarray, keep: list | None = None):
-    """States before each of the tokens ids (T, B), and after the last."""
-    out = np.empty((len(ids), *h.shape), np.float32)
-    s = STATE
-    xb = p["x"] + p["b"]
-    to_gates, to_state = np.ascontiguousarray(xb[:, : 2 * s]), np.ascontiguousarray(xb[:, 2 * s :])
-    gates, state = np.ascontiguousarray(p["h"][:, : 2 * s]), np.ascontiguousarray(p["h"][:, 2 * s :])
-    for t in range(len(ids)):
-        out[t] = h
-        rz = h @ gates
-        rz += to_gates[ids[t]]
-        _sigmoid(rz)
-        r, z = rz[:, :s], rz[:, s:]
-        rh = r * h
-        c = rh @ state
-        c += to_state[ids[t]]
+    """States before each of the tokens ids (T, B), and after the last: two views
+    of one array. Each gate's values lie together, so that no step of the loop goes
+    through memory in strides."""
+    t_len, kind = len(ids), p["h"].dtype
+    states = np.empty((t_len + 1, *h.shape), kind)
+    states[0] = h
+    inputs = p["x"] + p["b"][:, None]
+    np.negative(inputs[:2], out=inputs[:2])  # the gates are 1 / (1 + exp(-x))
+    inputs, gates, state = np.take(inputs, ids, axis=1), -p["h"][:2], p["h"][2]
+    n = 1 if keep is None else t_len
+    over, reset, fresh = np.empty((n, 2, *h.shape), kind), np.empty((n, *h.shape), kind), np.empty((n, *h.shape), kind)
+    for t in range(t_len):
+        h, after, rz, rh, c = states[t], states[t + 1], over[t % n], reset[t % n], fresh[t % n]
+        np.matmul(h, gates, out=rz)
+        rz += inputs[:2, t]
+        np.exp(rz, out=rz)
+        rz += 1
+        np.divide(h, rz[0], out=rh)
+        np.matmul(rh, state, out=c)
+        c += inputs[2, t]
         np.tanh(c, out=c)
-        if keep is not None:
-            keep.append((rz, rh, c))
-        h = h + z * (c - h)
-    return out, h
+        np.subtract(c, h, out=after)
+        after /= rz[1]
+        after += h
+    if keep is not None:
+        keep += np.reciprocal(over, out=over), reset, fresh
+    return states[:-1], states[-1]
 
 
-def class_of(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < HEAD, ids // CLASS_SIZE, ids - HEAD + HEAD_CLASSES)
+#: The class of each of the network's inputs.
+CLASS_OF = np.concatenate([np.arange(HEAD) // CLASS_SIZE, np.arange(TAIL_CLASSES + 1) + HEAD_CLASSES]).astype(np.uint8)
 
 
-def _softmax(x):
-    """In place."""
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
-    return x
+def by_class(ids: np.ndarray):
+    """An order of ids by class (few values: a radix sort), the ids and classes in
+    that order, and where head classes with tokens begin and end."""
+    k = CLASS_OF[ids]
+    order = np.argsort(k, kind="stable")
+    k = k[order]
+    bounds = np.searchsorted(k, np.arange(HEAD_CLASSES + 1, dtype=np.uint8)).tolist()
+    return order, ids[order], k, [(c, a, b) for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if a < b]
+
+
+def with_one(states: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rows `at` of states, with a one behind each for the biases."""
+    out = np.empty((len(at), STATE + 1), states.dtype)
+    out[:, :STATE] = states[at]
+    out[:, STATE] = 1
+    return out
 
 
-def _log_at(x, k):
-    """The log-softmax of each row of x at its column k."""
-    at = x[np.arange(len(k)), k]
-    top = x.max(-1)
-    x -= top[:, None]
+def outputs(p: dict, states: np.ndarray, ids: np.ndarray, k: np.ndarray, spans: list):
+    """Of states and the ids after them, by class: logits over classes, and those
+    over words for the tokens of head classes, as _exps gives them."""
+    m = spans[-1][2] if spans else 0
+    words = np.empty((m, CLASS_SIZE), states.dtype)
+    for c, a, b in spans:
+        np.matmul(states[a:b], p["ww"][c], out=words[a:b])
+    return _exps(states @ p["cw"], k), _exps(words, ids[:m] % CLASS_SIZE)
+
+
+def _exps(x: np.ndarray, k: np.ndarray):
+    """exp of x in place, the sums of its rows, where its column k is in each row of
+    x.ravel(), and what x was there. Rows are shifted by their maxima only where one
+    might leave float32's range."""
+    own = np.arange(0, x.size, x.shape[1]) + k
+    at = x.ravel()[own]
+    if len(k) and not (x.max() < 60 and at.min() > -60):
+        top = x.max(-1, keepdims=True)
+        x -= top
+        at -= top[:, 0]
     np.exp(x, out=x)
-    return at - top - np.log(x.sum(-1))
+    return x, x @ np.ones(x.shape[1], x.dtype), own, at
 
 
 def token_logs(p: dict, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """ln P of each token (of its class alone for tail tokens), given flat
     states (N, STATE) and ids (N)."""
-    k = class_of(ids)
-    out = _log_at(states @ p["cw"] + p["cb"], k).astype(np.float64)
-    order = np.argsort(k, kind="stable")
-    bounds = np.searchsorted(k[order], np.arange(HEAD_CLASSES + 1))
-    for c in range(HEAD_CLASSES):
-        at = order[bounds[c] : bounds[c + 1]]
-        if len(at):
-            out[at] += _log_at(states[at] @ p["ww"][c] + p["wb"][c], ids[at] % CLASS_SIZE)
+    order, ids, k, spans = by_class(ids)
+    (_, total, _, at), (_, words, _, word) = outputs(p, with_one(states, order), ids, k, spans)
+    logs = (at - np.log(total)).astype(np.float64)
+    logs[: len(word)] += word - np.log(words)
+    out = np.empty(len(ids))
+    out[order] = logs
     return out
 
 
-def gradients(p: dict, ids: np.ndarray, goal: np.ndarray, mask: np.ndarray, h0: np.ndarray):
+def gradients(p: dict, ids: np.ndarray, goal: np.ndarray, mask: np.ndarray, h0: np.ndarray, g: dict | None = None):
     """Of the mean negative log-likelihood over one window (truncated
-    backpropagation): ids (T, B) are inputs, goal (T, B) the tokens after them."""
+    backpropagation), into g: ids (T, B) are inputs, goal (T, B) the tokens after them."""
     t_len, b = ids.shape
-    kept: list = []
+    s, kind, kept = STATE, p["h"].dtype, []
+    g = {k: np.empty_like(x) for k, x in p.items()} if g is None else g
     before, last = recur(p, ids, h0, kept)
-    after = np.concatenate([before[1:], last[None]])
-    flat, want, use = after.reshape(-1, STATE), goal.ravel(), mask.ravel()
-    n = max(1.0, float(use.sum()))
-    k = class_of(want)
-    prob = _softmax(flat @ p["cw"] + p["cb"])
-    prob[np.arange(len(k)), k] -= 1
-    prob *= (use / n)[:, None]
-    g = {"cw": flat.T @ prob, "cb": prob.sum(0), "ww": np.zeros_like(p["ww"]), "wb": np.zeros_like(p["wb"])}
-    d_after = prob @ p["cw"].T
-    live = np.flatnonzero(use > 0)
-    order = live[np.argsort(k[live], kind="stable")]
-    bounds = np.searchsorted(k[order], np.arange(HEAD_CLASSES + 1))
-    for c in range(HEAD_CLASSES):
-        at = order[bounds[c] : bounds[c + 1]]
-        if len(at):
-            q = _softmax(flat[at] @ p["ww"][c] + p["wb"][c])
-            q[np.arange(len(at)), want[at] % CLASS_SIZE] -= 1
-            q /= n
-            g["ww"][c], g["wb"][c] = flat[at].T @ q, q.sum(0)
-            d_after[at] += q @ p["ww"][c].T
-    d_after = d_after.reshape(t_len, b, STATE)
-    s, dh = STATE, np.zeros((b, STATE), np.float32)
-    rz, reset, c = map(np.stack, zip(*kept, strict=True))
-    r, z = np.ascontiguousarray(rz[..., :s]), rz[..., s:]
+    live = np.flatnonzero(mask.ravel() > 0)
+    n = max(1, len(live))
+    order, want, k, spans = by_class(goal.ravel()[live])
+    live = live[order]
+    flat = with_one(before.base.reshape(-1, s), live + b)  # after a token: a row of lanes on
+    (prob, total, own, _), (word, words, own_word, _) = outputs(p, flat, want, k, spans)
+    prob *= (1 / (n * total))[:, None]
+    prob.ravel()[own] -= 1 / n
+    word *= (1 / (n * words))[:, None]
+    word.ravel()[own_word] -= 1 / n
+    np.matmul(flat.T, prob, out=g["cw"])
+    d_flat = prob @ p["cw"][:s].T
+    g["ww"][:] = 0
+    for c, a, e in spans:
+        np.matmul(flat[a:e].T, word[a:e], out=g["ww"][c])
+        d_flat[a:e] += word[a:e] @ p["ww"][c, :s].T
+    d_after = np.zeros((t_len * b, s), kind)
+    d_after[live] = d_flat
+    d_after = d_after.reshape(t_len, b, s)
+    gated, reset, c = kept
+    r, z = gated[:, 0], gated[:, 1]
     # what the loop multiplies by, for all steps at once
     still = 1 - z
     to_c, to_z, to_r = z * (1 - c * c), (c - before) * z * still, before * r * (1 - r)
-    back_state, back_gates = np.ascontiguousarray(p["h"][:, 2 * s :].T), np.ascontiguousarray(p["h"][:, : 2 * s].T)
-    d_in = np.empty((t_len, b, 3 * s), np.float32)
+    back = np.ascontiguousarray(p["h"].transpose(0, 2, 1))
+    back_gates, back_state = back[:2], back[2]
+    d_in, dh, drh, dg = np.empty((3, t_len, b, s), kind), np.zeros((b, s), kind), np.empty((b, s), kind), np.empty((2, b, s), kind)
     for t in range(t_len - 1, -1, -1):
-        row = d_in[t]
         dh += d_after[t]
-        np.multiply(dh, to_z[t], out=row[:, s : 2 * s])
-        np.multiply(dh, to_c[t], out=row[:, 2 * s :])
-        drh = row[:, 2 * s :] @ back_state
-        np.multiply(drh, to_r[t], out=row[:, :s])
+        np.multiply(dh, to_z[t], out=d_in[1, t])
+        np.multiply(dh, to_c[t], out=d_in[2, t])
+        np.matmul(d_in[2, t], back_state, out=drh)
+        np.multiply(drh, to_r[t], out=d_in[0, t])
         drh *= r[t]
         dh *= still[t]
         dh += drh
-        dh += row[:, : 2 * s] @ back_gates
-    rows = d_in.reshape(-1, 3 * s)
-    g["b"] = rows.sum(0)
-    g["h"] = np.concatenate([before.reshape(-1, s).T @ rows[:, : 2 * s], reset.reshape(-1, s).T @ rows[:, 2 * s :]], 1)
-    order = np.argsort(ids.ravel(), kind="stable")
-    kinds, first = np.unique(ids.ravel()[order], return_index=True)
-    g["x"] = np.zeros_like(p["x"])
-    g["x"][kinds] = np.add.reduceat(rows[order], first, axis=0)
+        np.matmul(d_in[:2, t], back_gates, out=dg)
+        dh += dg[0]
+        dh += dg[1]
+    rows = d_in.reshape(3, -1, s)
+    np.matmul(np.ones(t_len * b, kind), rows, out=g["b"])
+    np.matmul(before.reshape(-1, s).T, rows[:2], out=g["h"][:2])
+    np.matmul(reset.reshape(-1, s).T, rows[2], out=g["h"][2])
+    flat_ids = ids.ravel()
+    order = np.argsort(flat_ids.astype(np.int16), kind="stable")  # 16 bits: a radix sort
+    kinds = flat_ids[order]
+    first = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+    g["x"][:] = 0
+    g["x"][:, kinds[first]] = np.add.reduceat(np.take(rows, order, axis=1), first, axis=1)
     return g, last
 
 
 class Adam:
-    def __init__(self, p: dict, rate: float):
+    """Over all parameters as one vector."""
+
+    def __init__(self, size: int, rate: float):
         self.rate, self.t = rate, 0
-        self.m, self.v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+        # decayed sums of gradients and of their squares: ten and a hundred times the usual means
+        self.m, self.v = np.zeros(size, np.float32), np.zeros(size, np.float32)
 
-    def step(self, p: dict, g: dict, scale: float = 1.0) -> None:
+    def step(self, p: np.ndarray, g: np.ndarray, scale: float = 1.0) -> None:
+        """Uses g up."""
         self.t += 1
-        norm = math.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
-        clip = min(1.0, 1.0 / max(norm, 1e-12))
+        clip = min(1.0, 1.0 / max(math.sqrt(float(np.vdot(g, g))), 1e-12))
         rate = self.rate * scale * math.sqrt(1 - 0.99**self.t) / (1 - 0.9**self.t)
-        for k in p:
-            x = g[k] * clip
-            self.m[k] += 0.1 * (x - self.m[k])
-            self.v[k] += 0.01 * (x * x - self.v[k])
-            p[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-7)).astype(np.float32)
+        if clip < 1:
+            g *= clip
+        self.m *= 0.9
+        self.m += g
+        g *= g
+        self.v *= 0.99
+        self.v += g
+        np.sqrt(self.v, out=g)
+        g += 1e-6
+        np.divide(self.m, g, out=g)
+        g *= rate
+        p -= g
 
 
 def train_local(p: dict, runs: list[np.ndarray], *, lanes: int = 64, least_steps: int = 120, rate: float = 0.01) -> dict:
@@ -242,7 +285,9 @@ def train_local(p: dict, runs: list[np.ndarray], *, lanes: int = 64, least_steps
     runs = sorted((r for r in runs if len(r)), key=len, reverse=True)
     if not runs:
         return p
-    p, opt = {k: v.copy() for k, v in p.items()}, Adam(p, rate)
+    own = pack(p).astype(np.float32)
+    made = np.empty_like(own)
+    p, g, opt = unpack(own), unpack(made), Adam(len(own), rate)
     groups = [runs[a : a + lanes] for a in range(0, len(runs), lanes)]
     windows = sum(-(-len(g[0]) // STEPS) for g in groups)
     laps = max(1, -(-least_steps // windows))
@@ -259,36 +304,37 @@ def train_local(p: dict, runs: list[np.ndarray], *, lanes: int = 64, least_steps
             lens = np.array([len(r) for r in group])
             for a in range(0, n, STEPS):
                 live = int((lens > a).sum())  # runs that have ended leave the group
-                g, h = gradients(p, ids[a : a + STEPS, :live], goal[a : a + STEPS, :live], mask[a : a + STEPS, :live], h[:live])
-                opt.step(p, g, 1 - 0.9 * done / (laps * windows))
+                _, h = gradients(p, ids[a : a + STEPS, :live], goal[a : a + STEPS, :live], mask[a : a + STEPS, :live], h[:live], g)
+                opt.step(own, made, 1 - 0.9 * done / (laps * windows))
                 done += 1
     return p
 
 
-def score_local(p: dict, texts: list[np.ndarray]) -> np.ndarray:
+def score_local(p: dict, texts: list[np.ndarray], lanes: int = 512) -> np.ndarray:
     """ln P of each token sequence (tail tokens: of their classes), the state
-    carried from window to window; sequences leave the batch as they end."""
+    carried from window to window; sequences of about a length go side by side, as
+    many as stay in cache, and leave as they end."""
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
-    total, h = np.zeros(len(texts)), np.zeros((len(texts), STATE), np.float32)
-    lens = np.array([len(texts[i]) for i in order])
-    last = np.full(len(texts), INPUTS - 1, np.int32)
-    for a in range(0, int(lens[0]) if len(lens) else 0, STEPS):
-        live = int((lens > a).sum())
-        width = min(STEPS, int(lens[0]) - a)
-        goal = np.zeros((width, live), np.int32)
-        mask = np.arange(a, a + width)[:, None] < lens[:live]
-        for j in range(live):
-            part = texts[order[j]][a : a + width]
-            goal[: len(part), j] = part
-        ids = np.concatenate([last[None, :live], goal[:-1]])
-        before, after = recur(p, ids, h[:live])
-        states = np.concatenate([before[1:], after[None]])
-        logs = np.zeros(mask.shape)
-        logs[mask] = token_logs(p, states[mask], goal[mask])
-        total[:live] += logs.sum(0)
-        h[:live], last[:live] = after, goal[-1]
     out = np.zeros(len(texts))
-    out[order] = total
+    for first in range(0, len(order), lanes):
+        some = order[first : first + lanes]
+        lens = np.array([len(texts[i]) for i in some])
+        h, last, total = np.zeros((len(some), STATE), np.float32), np.full(len(some), INPUTS - 1, np.int32), np.zeros(len(some))
+        for a in range(0, int(lens[0]), STEPS):
+            live, width = int((lens > a).sum()), min(STEPS, int(lens[0]) - a)
+            goal = np.zeros((live, width), np.int32)
+            for j, i in enumerate(some[:live]):
+                part = texts[i][a : a + width]
+                goal[j, : len(part)] = part
+            goal = np.ascontiguousarray(goal.T)
+            before, h = recur(p, np.concatenate([last[None, :live], goal[:-1]]), h[:live])
+            at = np.flatnonzero(np.arange(a, a + width)[:, None] < lens[:live])
+            states = before.base.reshape(-1, STATE)[at + live]  # those after each token
+            logs = np.zeros(goal.size)
+            logs[at] = token_logs(p, states, goal.ravel()[at])
+            total[:live] += logs.reshape(goal.shape).sum(0)
+            last = goal[-1]
+        out[some] = total
     return out
 
 
@@ -328,28 +374,98 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode().lower().split(), END]
 
 
+def split_tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of all texts but their ends, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    flat, lens = lists.flatten(), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    some = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    if not some.all():  # at blank edges of a text
+        lens = np.bincount(np.repeat(np.arange(len(lens)), lens)[some], minlength=len(lens))
+        flat = flat.filter(pa.array(some))
+    return flat, lens
+
+
+def _added(parts: list) -> tuple[pa.Array, np.ndarray]:
+    """Lists of (tokens, counts) as one, each token once."""
+    d = pa.concat_arrays([t for t, _ in parts]).dictionary_encode()
+    return d.dictionary, np.bincount(d.indices.to_numpy(), np.concatenate([n for _, n in parts]), len(d.dictionary)).astype(np.int64)
+
+
 def token_counts(rows: DataFrame) -> DataFrame:
     """(token, n) over the training documents of rows(doc_id, text)."""
 
     def run(batches):
-        seen: Counter = Counter()
-
-        def out():
-            made = pa.RecordBatch.from_arrays([pa.array([t.decode() for t in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
-            seen.clear()
-            return made
-
+        seen, size = [], 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if not held_out(doc):
-                    seen.update(tokens_of(text.as_py()))
-                    if len(seen) > 300_000:
-                        yield out()
-        yield out()
+            for part in text_batches(b, 1, 4 << 20):
+                part = part.filter(pa.array([not held_out(doc) for doc in part.column(0).to_pylist()], pa.bool_()))
+                if not part.num_rows:
+                    continue
+                d = split_tokens(part.column(1))[0].dictionary_encode()
+                seen += (d.dictionary, np.bincount(d.indices.to_numpy(), minlength=len(d.dictionary))), (pa.array([END.decode()]), np.array([part.num_rows]))
+                size += len(d.dictionary)
+                if size > 600_000:
+                    seen = [_added(seen)]
+                    size = len(seen[0][0])
+                    if size > 300_000:
+                        yield pa.RecordBatch.from_arrays([seen[0][0], pa.array(seen[0][1])], ["token", "n"])
+                        seen, size = [], 0
+        if seen:
+            tokens, n = _added(seen)
+            yield pa.RecordBatch.from_arrays([tokens, pa.array(n)], ["token", "n"])
 
     return rows.mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
+CODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, ids binary, tail array<struct<token:string,tf:long>>"
+
+
+def encoded(rows: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """Of rows(doc_id, text), once for training and scoring: the network's inputs as
+    16-bit ids; by known types: tokens known, the sum of log10 of their counts + 1/2,
+    and that of tail tokens' shares of their classes; and the tokens of unknown
+    types, whose logs a join has to add."""
+    shared = rows.sparkSession.sparkContext.broadcast(vocab)
+
+    def run(batches):
+        vocab = shared.value
+        index, row = _Tokens(vocab), TaskContext.get().partitionId() << 40
+        mass = np.zeros(INPUTS)
+        mass[HEAD:-1] = np.log10(np.maximum(vocab.class_count + 0.5 * (vocab.class_types + 1), 1e-300))
+        names = [f.split()[0] for f in CODED.split(", ")]
+        for b in batches:
+            for part in text_batches(b, 1, 4 << 20):
+                flat, lens = split_tokens(part.column(1))
+                d = flat.dictionary_encode()
+                types = pa.concat_arrays([d.dictionary, pa.array([END.decode()], d.dictionary.type)])
+                # by type
+                codes, ids, _ = index(types.cast(pa.binary()).to_pylist())
+                known = codes >= 0
+                log = np.where(known, index.log[codes], 0.0)
+                own = np.where(ids >= HEAD, log - mass[ids], 0.0)
+                # by token, with the ends
+                lens = lens + 1
+                ends = np.cumsum(lens)
+                first, at, word = ends - lens, np.full(ends[-1], len(types) - 1), np.ones(ends[-1], bool)
+                word[ends - 1] = False
+                at[word] = d.indices.to_numpy()
+                left = np.flatnonzero(~known[at])
+                pairs, tf = np.unique(np.repeat(np.arange(len(lens)), lens)[left] * len(types) + at[left], return_counts=True)
+                tail = pa.StructArray.from_arrays([types.take(pa.array(pairs % len(types))), pa.array(tf)], ["token", "tf"])
+                tail_at = np.searchsorted(pairs // len(types), np.arange(len(lens) + 1)).astype(np.int32)
+                data, data_at = ids[at].astype("<i2"), np.concatenate([[0], 2 * ends]).astype(np.int32)
+                docs = part.column(0)
+                cols = [
+                    pa.array(np.arange(row, row + len(lens))), docs, pa.array([held_out(i) for i in docs.to_pylist()], pa.bool_()), pa.array(lens),
+                    *(pa.array(np.add.reduceat(x[at], first)) for x in (known.astype(np.int64), log, own)),
+                    pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(data_at), pa.py_buffer(data)]), pa.ListArray.from_arrays(pa.array(tail_at), tail),
+                ]
+                row += len(lens)
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return rows.mapInArrow(run, CODED)
+
+
 def vocabulary(counts: DataFrame, known_types: int = 100_000, longest: int = 40) -> Vocabulary:
     """Of a stored table of token counts. known_types and longest bound what is
     broadcast; all other types are looked up by a join."""
@@ -378,23 +494,19 @@ def vocabulary(counts: DataFrame, known_types: int = 100_000, longest: int = 40)
 
 
 def train(rows: DataFrame, vocab: Vocabulary, *, rounds: int = 2, **options) -> dict:
-    """Every training document takes part with all of its tokens, in each round.
+    """On rows(doc_id, text), or on what encoded() made of them and was stored.
+    Every training document takes part with all of its tokens, in each round.
     Each task fits a model on its runs, from the common one; the models' mean,
     weighted by tokens, is the next common one. Sums are built in a tree, so that
     few blocks of parameters (0.4 MB each) reach the driver at any size."""
     spark = rows.sparkSession
     params = initial(vocab)
-    shared_vocab = spark.sparkContext.broadcast(vocab)
+    coded = (rows if "ids" in rows.columns else encoded(rows, vocab)).where("not held_out").select("ids")
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(params)
 
         def run(batches, shared=shared):
-            index, runs = _Tokens(shared_vocab.value), []
-            for b in batches:
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    if held_out(doc):
-                        continue
-                    runs.append(index(tokens_of(text.as_py()))[1])
+            runs = [np.frombuffer(x, "<i2") for b in batches for x in b.column(0).to_pylist()]
             weight = float(sum(map(len, runs)))
             if weight:
                 made = pack(train_local(shared.value, runs, **options)).astype(np.float64) * weight
@@ -410,7 +522,7 @@ def train(rows: DataFrame, vocab: Vocabulary, *, rounds: int = 2, **options) ->
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([weight]), pa.array([total.astype("<f4").tobytes()], pa.binary())], ["task", "weight", "p"])
 
         kinds = "task int, weight double, p binary"
-        parts = rows.mapInArrow(run, kinds)
+        parts = coded.mapInArrow(run, kinds)
         # one partial sum a core, then those are few; each is of fixed size
         got = parts.repartition(spark.sparkContext.defaultParallelism, "task").mapInArrow(add, kinds).collect()
         if got:
@@ -435,47 +547,29 @@ def score_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     counts = stored(token_counts(rows), "counts")
     vocab = vocabulary(counts, known_types)
-    params = train(rows, vocab, **options)
+    coded = stored(encoded(rows, vocab), "coded")
+    params = train(coded, vocab, **options)
     release_shuffles(spark)
-    shared = spark.sparkContext.broadcast((vocab, params))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, neural double, tail array<struct<token:string,tf:long>>"
+    shared = spark.sparkContext.broadcast(params)
+    given = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "own"]
 
     def run(batches):
-        vocab, params = shared.value
-        index, row = _Tokens(vocab), TaskContext.get().partitionId() << 40
-        mass = np.log10(np.maximum(vocab.class_count + 0.5 * (vocab.class_types + 1), 1e-300))
-        unit = pa.list_(pa.struct([("token", pa.string()), ("tf", pa.int64())]))
-        names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "neural", "tail"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), unit]
         for b in batches:
             for a in range(0, b.num_rows, batch):
-                part, meta, seqs = b.slice(a, batch), [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    tokens = tokens_of(text.as_py())
-                    codes, ids, left = index(tokens)
-                    rare = Counter(left)
-                    logs = np.where(codes >= 0, index.log[codes], 0.0)
-                    base = float(logs.sum())
-                    # tail tokens: their share of their class; that of unknown types comes from the join
-                    in_tail = ids >= HEAD
-                    own = float(logs[in_tail].sum()) - float(mass[ids[in_tail] - HEAD].sum())
-                    meta.append((row, doc, held_out(doc), len(tokens), len(tokens) - len(left), base, own, [{"token": t.decode(), "tf": n} for t, n in rare.items()]))
-                    row += 1
-                    seqs.append(ids)
-                neural = score_local(params, seqs) / LN10
-                cols = [list(c) for c in zip(*meta, strict=True)]
-                if cols:
-                    cols[6] = [o + float(v) for o, v in zip(cols[6], neural, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
-
-    scored = stored(rows.mapInArrow(run, schema), "scored")
-    rare = scored.select("row", F.inline("tail"))
+                part = b.slice(a, batch)
+                neural = score_local(shared.value, [np.frombuffer(x, "<i2") for x in part.column(len(given)).to_pylist()]) / LN10
+                cols = part.columns[: len(given)]
+                yield pa.RecordBatch.from_arrays([*cols[:-1], pa.array(cols[-1].to_numpy() + neural)], [*given[:-1], "neural"])
+
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, neural double"
+    scored = stored(coded.select(*given, "ids").mapInArrow(run, schema), "scored")
+    rare = coded.select("row", F.inline("tail"))
     found = rare.join(counts, "token", "left").groupBy("row").agg(
         F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("more")
     )
     bottom = math.log10(vocab.total + 0.5 * (vocab.types + 1))
     logs = F.coalesce("logs", F.lit(0.0))
-    return scored.drop("tail").join(found, "row", "left").select(
+    return scored.join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(vocab.total).cast("long").alias("train_tokens"),
         (F.col("base") + logs - F.col("n_tokens") * F.lit(bottom)).alias("base_score"), (F.col("neural") + logs).alias("score"),
     )

@@ -483,6 +483,46 @@ def test_language_model_learns_from_whole_documents(spark):
         assert got[k] == pytest.approx(want[k], abs=1e-3)
 
 
+def test_language_model_reads_texts_twice(spark, docs):
+    read = spark.sparkContext.accumulator(0)
+
+    def tap(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    some = docs.select("doc_id", "text").limit(60).localCheckpoint()
+    seen = some.mapInArrow(tap, some.schema)
+    assert rnnlm.score_documents(seen, least_steps=1).count() == 60
+    # once to count tokens, once for the ids that both rounds and the scores use
+    assert read.value == 2 * 60
+
+
+def test_language_model_encodes_whole_texts(spark):
+    texts = {0: "The  cat\tthe CAT ", 1: None, 2: " \n ", 3: "\x85a\u00a0b \x1c rare-\u00e9\u00df \u4e2d rare-\u00e9\u00df", 4: "word " * 5000 + "end", 5: ""}
+    words = [rnnlm.END, b"the", b"cat", b"word"]
+    n = np.full(rnnlm.TAIL_CLASSES, 50.0)
+    vocab = rnnlm.Vocabulary(words, {w: 9 - i for i, w in enumerate(words)} | {b"end": 2}, 1000, 90, n, n)
+    index, mass = rnnlm._Tokens(vocab), np.log10(50 + 0.5 * 51)
+    got = rnnlm.encoded(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2), vocab).collect()
+    assert len({r.row for r in got}) == len(got) == len(texts)
+    for r in got:
+        tokens = rnnlm.tokens_of(texts[r.doc_id])
+        codes, ids, rare = index(tokens)
+        assert np.frombuffer(bytes(r.ids), "<i2").tolist() == ids.tolist()
+        assert (r.held_out, r.n_tokens, r.n_known) == (rnnlm.held_out(r.doc_id), len(tokens), len(tokens) - len(rare))
+        assert sorted(t.token for t in r.tail for _ in range(t.tf)) == sorted(t.decode() for t in rare)
+        assert r.base == pytest.approx(sum(np.log10(vocab.counts[t] + 0.5) for t in tokens if t in vocab.counts), rel=1e-12)
+        assert r.own == pytest.approx(sum((np.log10(2.5) if c >= 0 else 0) - mass for c, i in zip(codes, ids, strict=True) if i >= rnnlm.HEAD), rel=1e-12)
+
+
+def test_language_model_far_logits():
+    x = np.array([[900.0, 890.0], [-900.0, -899.0], [1.0, 2.0]], np.float32)
+    want = x - np.log(np.exp(x - x.max(1, keepdims=True)).sum(1, keepdims=True)) - x.max(1, keepdims=True)
+    e, total, own, at = rnnlm._exps(x.copy(), np.array([1, 0, 1]))
+    assert at - np.log(total) == pytest.approx(want.ravel()[own], abs=1e-4) and np.isfinite(e).all()
+
+
 def test_language_model_odd_rows(odd, none):
     rows = rnnlm.score_documents(odd).collect()
     assert len(rows) == odd.count()
