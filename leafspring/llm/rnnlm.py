@@ -113,21 +113,23 @@ def recur(p: dict, ids: np.ndarray, h: np.ndarray, keep: list | None = None):
     states[0] = h
     inputs = p["x"] + p["b"][:, None]
     np.negative(inputs[:2], out=inputs[:2])  # the gates are 1 / (1 + exp(-x))
-    inputs, gates, state = np.take(inputs, ids, axis=1), -p["h"][:2], p["h"][2]
+    inputs, to_r, to_z, state = np.take(inputs, ids, axis=1), -p["h"][0], -p["h"][1], p["h"][2]
     n = 1 if keep is None else t_len
     over, reset, fresh = np.empty((n, 2, *h.shape), kind), np.empty((n, *h.shape), kind), np.empty((n, *h.shape), kind)
-    for t in range(t_len):
-        h, after, rz, rh, c = states[t], states[t + 1], over[t % n], reset[t % n], fresh[t % n]
-        np.matmul(h, gates, out=rz)
-        rz += inputs[:2, t]
+    places = zip(over, reset, fresh, strict=True) if keep is not None else repeat((over[0], reset[0], fresh[0]))
+    for h, after, in_gates, in_state, (rz, rh, c) in zip(states, states[1:], inputs[:2].swapaxes(0, 1), inputs[2], places, strict=False):
+        r, z = rz
+        h.dot(to_r, r)
+        h.dot(to_z, z)
+        rz += in_gates
         np.exp(rz, out=rz)
         rz += 1
-        np.divide(h, rz[0], out=rh)
-        np.matmul(rh, state, out=c)
-        c += inputs[2, t]
+        np.divide(h, r, out=rh)
+        rh.dot(state, c)
+        c += in_state
         np.tanh(c, out=c)
         np.subtract(c, h, out=after)
-        after /= rz[1]
+        after /= z
         after += h
     if keep is not None:
         keep += np.reciprocal(over, out=over), reset, fresh
@@ -223,21 +225,20 @@ def gradients(p: dict, ids: np.ndarray, goal: np.ndarray, mask: np.ndarray, h0:
     # what the loop multiplies by, for all steps at once
     still = 1 - z
     to_c, to_z, to_r = z * (1 - c * c), (c - before) * z * still, before * r * (1 - r)
-    back = np.ascontiguousarray(p["h"].transpose(0, 2, 1))
-    back_gates, back_state = back[:2], back[2]
-    d_in, dh, drh, dg = np.empty((3, t_len, b, s), kind), np.zeros((b, s), kind), np.empty((b, s), kind), np.empty((2, b, s), kind)
-    for t in range(t_len - 1, -1, -1):
-        dh += d_after[t]
-        np.multiply(dh, to_z[t], out=d_in[1, t])
-        np.multiply(dh, to_c[t], out=d_in[2, t])
-        np.matmul(d_in[2, t], back_state, out=drh)
-        np.multiply(drh, to_r[t], out=d_in[0, t])
-        drh *= r[t]
-        dh *= still[t]
-        dh += drh
-        np.matmul(d_in[:2, t], back_gates, out=dg)
-        dh += dg[0]
-        dh += dg[1]
+    back_r, back_z, back_c = np.ascontiguousarray(p["h"].transpose(0, 2, 1))
+    d_in, dh, part = np.empty((3, t_len, b, s), kind), np.zeros((b, s), kind), np.empty((b, s), kind)
+    steps = zip(*(x[::-1] for x in (d_after, *d_in, to_r, to_z, to_c, r, still)), strict=True)
+    for own, dr, dz, dc, by_r, by_z, by_c, reset_by, stay in steps:
+        dh += own
+        np.multiply(dh, by_z, out=dz)
+        np.multiply(dh, by_c, out=dc)
+        dh *= stay
+        dc.dot(back_c, part)
+        np.multiply(part, by_r, out=dr)
+        part *= reset_by
+        dh += part
+        dh += dr.dot(back_r, part)
+        dh += dz.dot(back_z, part)
     rows = d_in.reshape(3, -1, s)
     np.matmul(np.ones(t_len * b, kind), rows, out=g["b"])
     np.matmul(before.reshape(-1, s).T, rows[:2], out=g["h"][:2])
@@ -247,7 +248,9 @@ def gradients(p: dict, ids: np.ndarray, goal: np.ndarray, mask: np.ndarray, h0:
     kinds = flat_ids[order]
     first = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
     g["x"][:] = 0
-    g["x"][:, kinds[first]] = np.add.reduceat(np.take(rows, order, axis=1), first, axis=1)
+    # two numbers at a time, as one complex number: the sums are the same
+    pairs = np.take(rows, order, axis=1).view(f"c{2 * rows.itemsize}")
+    g["x"][:, kinds[first]] = np.add.reduceat(pairs, first, axis=1).view(kind)
     return g, last
 
 
